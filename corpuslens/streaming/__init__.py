@@ -1,0 +1 @@
+"""No streaming job: the data model has no unbounded sources, watermarks or state (see README)."""
