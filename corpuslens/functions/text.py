@@ -76,9 +76,7 @@ def find_all(text: Column, regex: str, group: int = 1) -> Column:
 def find_fields(text: Column, regex: str, **groups: int) -> Column:
     """ARRAY<STRUCT<name: string, ...>>, one element per match, one field per named group."""
     arrays = [find_all(text, regex, g).alias(name) for name, g in groups.items()]
-    zipped = F.arrays_zip(*arrays)
-    names = list(groups)
-    return F.transform(zipped, lambda m: F.struct(*[m[str(i)].alias(n) for i, n in enumerate(names)]))
+    return F.arrays_zip(*arrays)
 
 
 def first_match(text: Column, regex: str, group: int = 1) -> Column:

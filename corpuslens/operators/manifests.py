@@ -32,13 +32,13 @@ def _piece(parts: Column, index: int) -> Column:
 def npm_packages(text: Column) -> Column:
     parsed = F.from_json(text, NPM_SCHEMA)
     none = F.array().cast("array<struct<key:string,value:string>>")
-    sections = []
-    for section, label in rules.NPM_GROUPS:
+
+    def packages(section: str, label: str) -> Column:
         entries = F.coalesce(F.map_entries(parsed[section]), none)
-        sections.append(F.transform(
-            entries,
-            lambda e, label=label: _row(e["key"], lstrip(e["value"], rules.VERSION_PREFIX_CHARS), F.lit(label))))
-    return F.concat(*sections)
+        return F.transform(
+            entries, lambda e: _row(e["key"], lstrip(e["value"], rules.VERSION_PREFIX_CHARS), F.lit(label)))
+
+    return F.concat(*[packages(section, label) for section, label in rules.NPM_GROUPS])
 
 
 def pypi_packages(text: Column) -> Column:
@@ -53,7 +53,7 @@ def _section_lines(text: Column, starts: str, header: str) -> Column:
     """Lines of every section whose first line begins with ``header``, without that line."""
     sections = F.filter(
         F.split(text, "(?m)(?d)^(?=" + starts + ")"), lambda s: lstrip(s, " \t\r\x0b\x0c").startswith(header))
-    return F.flatten(F.transform(sections, lambda s: F.slice(lines(s), 2, 2**31 - 1)))
+    return F.flatten(F.transform(sections, lambda s: F.slice(lines(s), F.lit(2), F.size(lines(s)))))
 
 
 def cargo_packages(text: Column) -> Column:

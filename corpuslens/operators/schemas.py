@@ -148,6 +148,12 @@ def _finders() -> list[tuple[str, Column, Column]]:
     ]
 
 
+def _tagged(tables: Column, number: int, finder: str) -> Column:
+    return F.transform(tables, lambda t, i: F.struct(
+        F.lit(number).alias("finder_no"), F.lit(finder).alias("finder"), i.alias("pos"),
+        t["name"].alias("name"), t["columns"].alias("columns"), t["foreign_keys"].alias("foreign_keys")))
+
+
 FINDERS = ["sql", "laravel", "alembic", "py_ddl", "django", "sqlalchemy", "typeorm", "prisma"]
 
 
@@ -161,10 +167,7 @@ def db_tables(files: DataFrame, finders: list[str] | None = None) -> DataFrame:
     arrays = []
     for number, (finder, applies, tables) in wanted:
         reads = applies if reads is None else reads | applies
-        tagged = F.transform(tables, lambda t, i, number=number, finder=finder: F.struct(
-            F.lit(number).alias("finder_no"), F.lit(finder).alias("finder"), i.alias("pos"),
-            t["name"].alias("name"), t["columns"].alias("columns"), t["foreign_keys"].alias("foreign_keys")))
-        arrays.append(F.when(applies, tagged).otherwise(none))
+        arrays.append(F.when(applies, _tagged(tables, number, finder)).otherwise(none))
     sources = with_text(prune_paths(files, "P3")).where(reads)
     found = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
     return sources.select("repo_id", "path", F.explode(found).alias("t")).select("repo_id", "path", "t.*")

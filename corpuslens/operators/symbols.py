@@ -124,11 +124,11 @@ def modules(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
 
 def symbols(module_rows: DataFrame) -> DataFrame:
     """Long form: one row per import, export, class or function name, in source order per kind."""
-    kinds = [
-        F.transform(F.col(array), lambda n, i, kind=kind: F.struct(
+    def of_kind(array: str, kind: str) -> Column:
+        return F.transform(F.col(array), lambda n, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("seq"), n.alias("name")))
-        for array, kind in zip(ARRAYS, KINDS)
-    ]
+
+    kinds = [of_kind(array, kind) for array, kind in zip(ARRAYS, KINDS)]
     return module_rows.select("repo_id", "path", F.explode(F.concat(*kinds)).alias("s")).select(
         "repo_id", "path", "s.kind", "s.seq", "s.name")
 
@@ -188,7 +188,8 @@ def _with_line(matches: DataFrame) -> DataFrame:
 
 def _located(text: Column, body: str, kind: str, groups: list[int]) -> Column:
     """Matches as structs carrying the newline counts of the gap before and of gap plus match."""
-    regex = pattern(r"(?s:(.*?))(?:" + body + ")")
+    # \G: a match starts where the last one ended, so text after the last match is scanned once
+    regex = pattern(r"\G(?s:(.*?))(?:" + body + ")")
     fields = {"whole": 0, "gap": 1} | {f"g{g}": g + 1 for g in groups}
     found = find_fields(text, regex, **fields)
 

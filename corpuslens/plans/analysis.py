@@ -1,17 +1,21 @@
-"""The whole analysis of a corpus as one set of tables.
+"""The whole analysis of a corpus as a set of tables.
 
-``analyze`` only declares plans.  ``stage`` decides what is materialised: by default nothing; with
-``stored(path)`` each fact table is written once and read back, so the corpus is scanned once per
-fact table, repository-level tables start from narrow facts, and a lost executor costs one task.
+An ``Analysis`` declares every result table over ``files`` and ``commits``.  A table is planned when
+it is asked for.  ``stage`` decides what is materialised on the way: nothing by default; with
+``stored(folder)`` every table that others start from is written once and read back, so the corpus
+is scanned once per fact table, repository-level tables start from narrow facts, and a lost executor
+costs one task instead of the whole lineage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.functions.paths import is_pruned
 from corpuslens.operators import (
     architecture, calls, complexity, diagrams, files as file_ops, frameworks, health, history, manifests,
     pyfacts, schemas, symbols,
@@ -24,55 +28,22 @@ def lazily(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
-def stored(path: str) -> Stage:
+def stored(folder: str) -> Stage:
     """Write each staged table below a shared folder and continue from there."""
 
     def stage(name: str, df: DataFrame) -> DataFrame:
-        target = f"{path.rstrip('/')}/{name}"
+        target = f"{folder.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(target)
         return df.sparkSession.read.parquet(target)
 
     return stage
 
 
-def analyze(files: DataFrame, commits: DataFrame, stage: Stage = lazily) -> dict[str, DataFrame]:
-    """All result tables, keyed by name."""
-    t: dict[str, DataFrame] = {}
-    file_facts = stage("file_facts", file_facts_of(files))
-    t["files_classified"] = file_facts.where("walked").select(
-        "repo_id", "path", "dir", "name", "ext", "language", "lines")
-    t["repos"] = file_facts.select("repo_id").distinct()
-    t["python_facts"] = stage("python_facts", pyfacts.python_facts(files))
-    t["previews"] = stage("previews", file_ops.file_previews(files))
-    t["readme"] = stage("readme", file_ops.pick_readme(files))
-    t["language_stats"] = stage("language_stats", file_ops.language_stats(t["files_classified"]))
-    t["frameworks"] = stage("frameworks", frameworks.frameworks(files))
-    t["dependencies"] = stage("dependencies", manifests.dependencies(files))
-    t["modules"] = stage("modules", symbols.modules(files, t["python_facts"]))
-    t["functions"] = stage("functions", calls.all_functions(files, t["python_facts"]))
-    t["call_graph"] = calls.call_graph(t["functions"])
-    t["arch_scores"] = stage("arch_scores", architecture.arch_scores(files, file_facts))
-    t["architecture"] = architecture.arch_profile(architecture.architecture(t["arch_scores"]))
-    t["arch_evidence"] = stage("arch_evidence", architecture.arch_evidence(files, t["architecture"]))
-    t["complexity"] = stage(
-        "complexity", complexity.complexity(files, t["python_facts"], file_facts.where("walked")))
-    t["database_schema"] = stage("database_schema", schemas.database_schema(schemas.db_tables(files)))
-    t["contributors"] = stage("contributors", history.contributors(commits))
-    t["recent_commits"] = stage("recent_commits", history.recent_commits(commits))
-    t["health"] = stage("health", health.health(health_inputs_of(t)))
-    nodes = stage("directory_nodes", diagrams.directory_nodes(files))
-    t["directory_nodes"] = nodes
-    t["diagrams"] = diagrams.diagram_text(t["architecture"], t["language_stats"], nodes)
-    t["dependency_diagram"] = diagrams.dependency_diagram(t["dependencies"], t["language_stats"])
-    return t
-
-
-def file_facts_of(files: DataFrame) -> DataFrame:
+def file_facts(files: DataFrame) -> DataFrame:
     """One scan for everything that is a number per file: language, lines, counts, pattern scores."""
     rows = file_ops.classify_language(file_ops.with_text(architecture.walked(files)))
     return rows.select(
-        "repo_id", "path", "dir", "name", "ext", "language",
-        (~file_ops.is_pruned(F.col("path"), "P1")).alias("walked"),
+        "repo_id", "path", "dir", "name", "ext", "language", (~is_pruned(F.col("path"), "P1")).alias("walked"),
         *complexity.file_counts(), *architecture.file_tenths())
 
 
@@ -80,7 +51,112 @@ def counted(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("repo_id").agg(F.count("*").alias(name))
 
 
-def health_inputs_of(t: dict[str, DataFrame]) -> DataFrame:
-    return health.health_inputs(
-        t["repos"], t["files_classified"], t["dependencies"], t["frameworks"], t["architecture"], t["complexity"],
-        counted(t["modules"], "modules_n"), counted(t["contributors"], "contributors_n"), t["readme"])
+class Analysis:
+    """Result tables by name, as attributes or items."""
+
+    def __init__(self, files: DataFrame, commits: DataFrame, stage: Stage = lazily) -> None:
+        self.files = files
+        self.commits = commits
+        self.stage = stage
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    # --- facts per file ---------------------------------------------------------------------
+    @cached_property
+    def file_facts(self) -> DataFrame:
+        return self.stage("file_facts", file_facts(self.files))
+
+    @cached_property
+    def repos(self) -> DataFrame:
+        return self.file_facts.select("repo_id").distinct()
+
+    @cached_property
+    def files_classified(self) -> DataFrame:
+        return self.file_facts.where("walked").select("repo_id", "path", "dir", "name", "ext", "language", "lines")
+
+    @cached_property
+    def python_facts(self) -> DataFrame:
+        return self.stage("python_facts", pyfacts.python_facts(self.files))
+
+    @cached_property
+    def previews(self) -> DataFrame:
+        return file_ops.file_previews(self.files)
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return self.stage("modules", symbols.modules(self.files, self.python_facts))
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        return calls.all_functions(self.files, self.python_facts)
+
+    @cached_property
+    def call_graph(self) -> DataFrame:
+        return calls.call_graph(self.functions)
+
+    @cached_property
+    def dependencies(self) -> DataFrame:
+        return self.stage("dependencies", manifests.dependencies(self.files))
+
+    # --- facts per repository -----------------------------------------------------------------
+    @cached_property
+    def readme(self) -> DataFrame:
+        return file_ops.pick_readme(self.files)
+
+    @cached_property
+    def language_stats(self) -> DataFrame:
+        return self.stage("language_stats", file_ops.language_stats(self.files_classified))
+
+    @cached_property
+    def frameworks(self) -> DataFrame:
+        return self.stage("frameworks", frameworks.frameworks(self.files))
+
+    @cached_property
+    def arch_scores(self) -> DataFrame:
+        return self.stage("arch_scores", architecture.arch_scores(self.files, self.file_facts))
+
+    @cached_property
+    def architecture(self) -> DataFrame:
+        return architecture.arch_profile(architecture.architecture(self.arch_scores))
+
+    @cached_property
+    def arch_evidence(self) -> DataFrame:
+        return architecture.arch_evidence(self.files, self.architecture)
+
+    @cached_property
+    def complexity(self) -> DataFrame:
+        return self.stage(
+            "complexity", complexity.complexity(self.files, self.python_facts, self.file_facts.where("walked")))
+
+    @cached_property
+    def database_schema(self) -> DataFrame:
+        return self.stage("database_schema", schemas.database_schema(schemas.db_tables(self.files)))
+
+    @cached_property
+    def contributors(self) -> DataFrame:
+        return self.stage("contributors", history.contributors(self.commits))
+
+    @cached_property
+    def recent_commits(self) -> DataFrame:
+        return history.recent_commits(self.commits)
+
+    # --- scores and diagrams --------------------------------------------------------------------
+    @cached_property
+    def health(self) -> DataFrame:
+        inputs = health.health_inputs(
+            self.repos, self.files_classified, self.dependencies, self.frameworks, self.architecture, self.complexity,
+            counted(self.modules, "modules_n"), counted(self.contributors, "contributors_n"), self.readme)
+        return self.stage("health", health.health(inputs))
+
+    @cached_property
+    def directory_nodes(self) -> DataFrame:
+        return self.stage("directory_nodes", diagrams.directory_nodes(self.files))
+
+    @cached_property
+    def diagrams(self) -> DataFrame:
+        return diagrams.diagram_text(self.architecture, self.language_stats, self.directory_nodes)
+
+    @cached_property
+    def dependency_diagram(self) -> DataFrame:
+        return diagrams.dependency_diagram(self.dependencies, self.language_stats)

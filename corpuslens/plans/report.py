@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.ranking import assemble_lines
-from corpuslens.plans.analysis import counted
+from corpuslens.plans.analysis import Analysis, counted
 
 
 def _one(df: DataFrame, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _few(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     return df.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias(name))
 
 
-def analysis_summary(t: dict[str, DataFrame], repos: DataFrame | None = None) -> DataFrame:
+def analysis_summary(t: Analysis, repos: DataFrame | None = None) -> DataFrame:
     """One row per repository; large children appear as counts only."""
     out = t["repos"] if repos is None else repos
     for side in (
@@ -38,7 +38,7 @@ def analysis_summary(t: dict[str, DataFrame], repos: DataFrame | None = None) ->
     return out.fillna(0, ["dependencies_count", "modules_count", "contributors_count"])
 
 
-def repo_counts(t: dict[str, DataFrame]) -> DataFrame:
+def repo_counts(t: Analysis) -> DataFrame:
     """Q3: the four counts on the front page."""
     out = t["repos"]
     for name in ("contributors", "language_stats", "dependencies", "modules"):
@@ -54,7 +54,7 @@ def calls_per_function(call_graph: DataFrame) -> DataFrame:
     return call_graph.select("repo_id", "fn_id", F.size("callees").alias("calls"))
 
 
-def search_entities(t: dict[str, DataFrame], term: str) -> DataFrame:
+def search_entities(t: Analysis, term: str) -> DataFrame:
     """Q1: case-insensitive substring over names; an empty term keeps everything.
 
     The filter is on each branch of the union, so it runs where the branch is read.
@@ -84,7 +84,7 @@ def search_entities(t: dict[str, DataFrame], term: str) -> DataFrame:
 REPORT_LISTS = {"dependencies": ["source_file", "seq"], "modules": ["path"], "contributors": ["name"]}
 
 
-def export_report(t: dict[str, DataFrame], repos: DataFrame | None = None) -> DataFrame:
+def export_report(t: Analysis, repos: DataFrame | None = None) -> DataFrame:
     """S8 as rows: (repo_id, section, item, body), body being JSON.
 
     Section `report` is one document with the bounded parts and the counts; each dependency, module

@@ -5,10 +5,10 @@ On a cluster the submitting job owns the session; nothing in the library creates
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,18 +33,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a reused intermediate to the shared checkpoint folder and read it from there.
+def staging_folder(spark: SparkSession) -> str:
+    """A new folder for staged tables below the shared folder of ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only a session without
-    that setting (tests, local runs) gets a temporary one.
+    Only a local session without that setting (tests, small runs) gets a temporary folder.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            named = tempfile.mkdtemp(prefix="corpuslens-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="corpuslens-")
+    return f"{shared.rstrip('/')}/staged-{uuid.uuid4().hex}"
