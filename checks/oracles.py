@@ -25,7 +25,9 @@ def in_list(values) -> str:
 
 def re2(body: str, flags: str = "") -> str:
     """A rule pattern as a DuckDB literal."""
-    return q((f"(?{flags})" if flags else "") + body.replace(r"\w", WORD))
+    # inside a character class the word class may not bring its own brackets
+    body = body.replace(r"[\w", "[" + WORD[1:-1]).replace(r"\w", WORD)
+    return q((f"(?{flags})" if flags else "") + body)
 
 
 def ctes(*parts: tuple[str, str]) -> str:
@@ -138,7 +140,8 @@ STACK_DEPS = (
     "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/package.json', 1, 'express', '4.' || s_nationkey, 'npm', 'dependencies' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL "
     "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/package.json', 2, 'jest', cast(s_suppkey AS varchar), 'npm', 'dev' FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL "
     "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/requirements.txt', 0, 'Django', '=' || s_nationkey || '.' || s_suppkey, 'pypi', NULL FROM supplier WHERE s_suppkey % 5 = 1 UNION ALL "
-    "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/requirements.txt', 1, 'flask', '=1', 'pypi', NULL FROM supplier WHERE s_suppkey % 5 = 1) t")
+    "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/requirements.txt', 1, 'flask', '=1', 'pypi', NULL FROM supplier WHERE s_suppkey % 5 = 1 UNION ALL "
+    "SELECT 'repo' || s_suppkey % 20, 'stack' || s_suppkey || '/requirements.txt', 2, 'beta-lib', '*', 'pypi', NULL FROM supplier WHERE s_suppkey % 5 = 1) t")
 DEPS = "\nUNION ALL\n".join(dep_rows(i) for i in range(7)) + "\nUNION ALL\n" + STACK_DEPS
 DEP_CTES = [DEP_ROWS, ("d", DEPS)]
 ORACLES["dependencies"] = ctes(*DEP_CTES) + "SELECT * FROM d"
@@ -215,7 +218,7 @@ def found(pattern: str, group: int = 1, flags: str = "") -> str:
 
 JS_NAMES = (
     "list_filter(list_transform(list_zip(" + ", ".join(found(rules.JS_FUNCTION, g) for g in (1, 2, 3)) + "), "
-    f"lambda z: z[1] || z[2] || z[3]), lambda n: n NOT IN {in_list(rules.JS_NOT_FUNCTIONS)})")
+    f"lambda z: coalesce(z[1], '') || coalesce(z[2], '') || coalesce(z[3], '')), lambda n: n NOT IN {in_list(rules.JS_NOT_FUNCTIONS)})")
 GO_BLOCKS = f"flatten(list_transform({found(rules.GO_IMPORT_BLOCK, 1, 's')}, lambda b: regexp_extract_all(b, {q(rules.GO_IMPORT_ITEM)}, 1)))"
 _JS, _NONE = "ext IN ('.js', '.jsx', '.ts', '.tsx')", "CAST([] AS VARCHAR[])"
 MODULES = (
@@ -296,9 +299,9 @@ def arch(sql: str, corpus: str = "files") -> str:
 
 ORACLES["arch_dir_hits"] = arch("SELECT repo_id, pattern, dir, h % 10 AS rule_no FROM dh JOIN pat ON p = h // 10")
 ORACLES["arch_file_hits"] = arch("SELECT repo_id, pattern, path, name, h % 10 AS rule_no FROM fh JOIN pat ON p = h // 10", "all")
-ORACLES["arch_content_hits"] = arch("SELECT repo_id, pattern, path, h % 10 AS rule_no FROM ch JOIN pat ON p = h // 10")
-ORACLES["arch_scores"] = arch("SELECT repo_id, pattern, tenths / 10 AS score FROM scores")
-ORACLES["architecture"] = arch("SELECT repo_id, pattern, cast(confidence AS double) AS confidence FROM arch")
+ORACLES["arch_content_hits"] = arch("SELECT repo_id, pattern, path, h % 10 AS rule_no FROM ch JOIN pat ON p = h // 10", "all")
+ORACLES["arch_scores"] = arch("SELECT repo_id, pattern, tenths / 10 AS score FROM scores", "all")
+ORACLES["architecture"] = arch("SELECT repo_id, pattern, cast(confidence AS double) AS confidence FROM arch", "all")
 PROFILE_ROWS = ", ".join(
     f"({q(n)}, {q(d)}, [{', '.join(q(x) for x in names)}])" for n, (d, names) in rules.ARCHITECTURE_PROFILES.items())
 PROFILE = f"SELECT repo_id, a.pattern, cast(confidence AS double) AS confidence, description, layers FROM arch a JOIN (VALUES {PROFILE_ROWS}) t(pattern, description, layers) USING (pattern)"
@@ -308,10 +311,10 @@ ORACLES["arch_evidence"] = arch(
     "SELECT repo_id, pattern, evidence, min(place) AS place FROM ("
     "SELECT repo_id, h // 10 AS p, 'directory:' || dir AS evidence, {'a': CASE dir WHEN '.' THEN '' ELSE dir END, 'b': h % 10, 'c': 0, 'd': ''} AS place FROM dh UNION ALL "
     "SELECT repo_id, h // 10, 'file:' || name, {'a': dir, 'b': h % 10, 'c': 1, 'd': name} FROM fh) u JOIN pat USING (p) GROUP BY repo_id, pattern, evidence) e "
-    "JOIN arch USING (repo_id, pattern)) z WHERE rank <= 10")
+    "JOIN arch USING (repo_id, pattern)) z WHERE rank <= 10", "all")
 ORACLES["arch_top5"] = arch(
     "SELECT repo_id, cast(rank AS integer) AS rank, pattern, tenths / 10 AS score, CASE WHEN top > 0 THEN tenths * 100 / top ELSE 0.0 END AS pct_of_max FROM "
-    "(SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tenths DESC, p) AS rank, max(tenths) OVER (PARTITION BY repo_id) AS top FROM scores) z WHERE rank <= 5")
+    "(SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tenths DESC, p) AS rank, max(tenths) OVER (PARTITION BY repo_id) AS top FROM scores) z WHERE rank <= 5", "all")
 
 # --- complexity ------------------------------------------------------------------------------------------------
 METRIC_FILES = f"SELECT * FROM f WHERE {kept('P1')} AND ext IN {in_list(rules.METRIC_EXTENSIONS)}"
@@ -481,7 +484,7 @@ ORACLES["relevant_context"] = asked(
     "SELECT q_id, repo_id, string_agg('--- ' || path || ' ---' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS context FROM r4 GROUP BY q_id, repo_id")
 ORACLES["history_window"] = ctes(("qs", duckdb_sql("questions"))) + (
     "SELECT conv_id, turn, repo_id, text FROM (SELECT q_id // 1000 AS conv_id, q_id % 1000 AS turn, repo_id, text, row_number() OVER (PARTITION BY q_id // 1000 ORDER BY q_id DESC) AS back FROM qs) z WHERE back <= 10")
-ORACLES["source_attribution"] = ctes(("a", duckdb_sql("answers")), *RETRIEVAL_CTES[1:4], RETRIEVAL_CTES[6 - 0] if False else ("pv", dict(RETRIEVAL_CTES)["pv"])) + (
+ORACLES["source_attribution"] = ctes(("a", duckdb_sql("answers")), fx("files"), ("f", PARTS), ("pv", dict(RETRIEVAL_CTES)["pv"])) + (
     "SELECT answer_id, repo_id, path, cast(rank AS integer) AS rank FROM (SELECT answer_id, a.repo_id, path, row_number() OVER (PARTITION BY answer_id ORDER BY path) AS rank "
     "FROM a JOIN pv ON a.repo_id = pv.repo_id AND (contains(text, path) OR contains(text, name))) z WHERE rank <= 10")
 _PROMPT = [

@@ -125,15 +125,15 @@ over("calls_per_function", "code", lambda df: report.calls_per_function(calls.ca
 # --- architecture -------------------------------------------------------------------------------------
 over("arch_dir_hits", "files", architecture.arch_dir_hits)
 over("arch_file_hits", "all", lambda df: architecture.arch_file_hits(df).select("repo_id", "pattern", "path", "name", "rule_no"))
-over("arch_content_hits", "files", architecture.arch_content_hits)
-over("arch_scores", "files", lambda df: architecture.arch_scores(df).select("repo_id", "pattern", "score"))
-over("architecture", "files", lambda df: architecture.architecture(architecture.arch_scores(df)).drop("scores"))
+over("arch_content_hits", "all", architecture.arch_content_hits)
+over("arch_scores", "all", lambda df: architecture.arch_scores(df).select("repo_id", "pattern", "score"))
+over("architecture", "all", lambda df: architecture.architecture(architecture.arch_scores(df)).drop("scores"))
 over("arch_profile", "files", lambda df: architecture.arch_profile(
     architecture.architecture(architecture.arch_scores(df))).select(
     "repo_id", "pattern", "description", joined("layers")))
-over("arch_evidence", "files", lambda df: architecture.arch_evidence(
+over("arch_evidence", "all", lambda df: architecture.arch_evidence(
     df, architecture.architecture(architecture.arch_scores(df))))
-over("arch_top5", "files", lambda df: architecture.arch_top5(architecture.arch_scores(df)))
+over("arch_top5", "all", lambda df: architecture.arch_top5(architecture.arch_scores(df)))
 
 # --- complexity ---------------------------------------------------------------------------------------
 over("code_totals", "all", complexity.code_totals)
