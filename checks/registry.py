@@ -47,7 +47,7 @@ def stamp(column: str):
 def whole(spark: SparkSession, sf: str) -> Analysis:
     """The full analysis, as it runs on a cluster: packed corpus, staged fact tables."""
     folder = staging_folder(spark)
-    write_corpus(corpus(spark, sf, "all"), f"{folder}/files")
+    write_corpus(corpus(spark, sf, "all"), f"{folder}/files", partitions=spark.sparkContext.defaultParallelism)
     return Analysis(scan_corpus(spark, f"{folder}/files"), corpus(spark, sf, "commits"), stored(folder))
 
 

@@ -55,7 +55,7 @@ def lines(text: Column) -> Column:
 
 
 #: letters, digits and underscore in any script: what a word character is for the rules
-WORD = r"[\p{L}\p{N}_]"
+WORD = r"[a-zA-Z0-9_\p{L}\p{N}]"
 
 
 def pattern(body: str, *, ignore_case: bool = False, dotall: bool = False, multiline: bool = False) -> str:

@@ -16,14 +16,21 @@ from corpuslens.functions.text import literal_map, pattern, text_array, universa
 
 PATTERNS = [name for name, _ in rules.ARCHITECTURES]
 INDICATORS = [
-    (p, r, pattern(body, ignore_case=True))
+    (p, r, pattern(body))
     for p, (_, bodies) in enumerate(rules.ARCHITECTURES)
     for r, body in enumerate(bodies)
 ]
 
 
+def _folded(text: Column) -> Column:
+    """Text without case.  Indicators are lower case, so they need no slower case-insensitive search;
+    four letters that match an ASCII letter only when case is ignored are folded to it."""
+    return F.lower(F.translate(text, "\u017f\u212a\u0131\u0130", "skii"))
+
+
 def _matched(text: Column) -> Column:
     """ARRAY<STRUCT<p, r>> of the indicators found in the text."""
+    text = _folded(text)
     hits = [
         F.when(F.rlike(text, F.lit(regex)), F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")))
         for p, r, regex in INDICATORS
@@ -33,6 +40,7 @@ def _matched(text: Column) -> Column:
 
 def _tenths(text: Column, weight: int) -> list[Column]:
     """Per pattern: weight times the number of its indicators found in the text."""
+    text = _folded(text)
     sums = []
     for p in range(len(PATTERNS)):
         hits = [F.rlike(text, F.lit(regex)).cast("int") for q, _, regex in INDICATORS if q == p]

@@ -44,10 +44,20 @@ def _dotted(node: ast.AST) -> str:
     return f"{_dotted(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else ""
 
 
-def _branches(node: ast.AST) -> int:
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    return int(isinstance(node, (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.Assert)))
+BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.Assert)
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+# nodes without children of interest are never put on the stack
+LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.alias)
+
+
+def _children(node: ast.AST) -> list[ast.AST]:
+    found = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        for child in value if isinstance(value, list) else (value,):
+            if isinstance(child, ast.AST) and not isinstance(child, LEAVES):
+                found.append(child)
+    return found
 
 
 def file_facts(source: str) -> dict:
@@ -61,26 +71,30 @@ def file_facts(source: str) -> dict:
     stack: list[tuple[ast.AST, int, tuple]] = [(ast.parse(source), 0, ())]
     while stack:
         node, depth, inside = stack.pop()
-        for fact in inside:
-            fact["complexity"] += _branches(node)
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            module = getattr(node, "module", None)
-            found["imports"] += [(depth, f"{module}.{a.name}" if module else a.name) for a in node.names]
-        elif isinstance(node, ast.ClassDef):
-            methods = [m.name for m in node.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-            found["classes"].append((depth, {
-                "name": node.name, "bases": [_short(b) for b in node.bases], "methods": methods,
-                "line": node.lineno}))
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        if isinstance(node, (*BRANCHES, ast.BoolOp)):
+            more = len(node.values) - 1 if isinstance(node, ast.BoolOp) else 1
+            for fact in inside:
+                fact["complexity"] += more
+        elif isinstance(node, ast.Call):
+            target = node.func
+            if inside and isinstance(target, (ast.Name, ast.Attribute)):
+                callee = target.id if isinstance(target, ast.Name) else f"{_dotted(target.value)}.{target.attr}"
+                found["calls"].append((depth, {"caller": inside[-1]["name"], "callee": callee}))
+        elif isinstance(node, FUNCTIONS):
             fact = {"name": node.name, "decorators": [_short(d) for d in node.decorator_list],
                     "line": node.lineno, "length": node.end_lineno - node.lineno, "complexity": 1}
             found["functions"].append((depth, fact))
             inside = (*inside, fact)
-        elif isinstance(node, ast.Call) and inside and isinstance(node.func, (ast.Name, ast.Attribute)):
-            target = node.func
-            callee = target.id if isinstance(target, ast.Name) else f"{_dotted(target.value)}.{target.attr}"
-            found["calls"].append((depth, {"caller": inside[-1]["name"], "callee": callee}))
-        stack.extend((child, depth + 1, inside) for child in reversed(list(ast.iter_child_nodes(node))))
+        elif isinstance(node, ast.ClassDef):
+            methods = [m.name for m in node.body if isinstance(m, FUNCTIONS)]
+            found["classes"].append((depth, {
+                "name": node.name, "bases": [_short(b) for b in node.bases], "methods": methods,
+                "line": node.lineno}))
+        elif isinstance(node, (ast.Import, ast.ImportFrom)):
+            module = getattr(node, "module", None)
+            found["imports"] += [(depth, f"{module}.{a.name}" if module else a.name) for a in node.names]
+            continue
+        stack.extend((child, depth + 1, inside) for child in reversed(_children(node)))
     return {kind: [fact for _, fact in sorted(rows, key=lambda r: r[0])] for kind, rows in found.items()}
 
 

@@ -23,9 +23,10 @@ def _nothing() -> Column:
 
 
 def _js_function_names(text: Column) -> Column:
-    matches = find_fields(text, pattern(rules.JS_FUNCTION), a=1, b=2, c=3)
-    # exactly one of the three alternatives captures; the others are ''
-    names = F.transform(matches, lambda m: F.concat(m["a"], m["b"], m["c"]))
+    regex = pattern(rules.JS_FUNCTION)
+    # one pass over the text; a match alone matches again in the same way, and exactly one of its
+    # three alternatives captures
+    names = F.transform(find_all(text, regex, 0), lambda m: F.concat(*[F.regexp_extract(m, regex, g) for g in (1, 2, 3)]))
     return F.filter(names, lambda n: ~n.isin(rules.JS_NOT_FUNCTIONS))
 
 
