@@ -133,6 +133,7 @@ FROM supplier
 # of that size are its columns.  The TypeORM entity of an even size repeats the Django name.
 _SIZE = "cast(p_size AS string)"
 _KEY = "cast(p_partkey AS string)"
+_STYLES = " UNION ALL ".join(f"SELECT p_size, p_partkey, {style} AS style FROM part" for style in range(7))
 FX_ORM = f"""
 SELECT concat('repo', cast(p_size % 20 AS string)) AS repo_id,
   CASE style WHEN 0 THEN concat('database/migrations/m', {_SIZE}, '.php') WHEN 1 THEN concat('alembic/versions/v', {_SIZE}, '.py')
@@ -162,7 +163,7 @@ FROM (
       WHEN 4 THEN concat('    c', {_KEY}, ' = Column(Integer)')
       WHEN 5 THEN concat('  c', {_KEY}, ': string;')
       ELSE concat('  c', {_KEY}, ' String') END AS col
-  FROM part CROSS JOIN (SELECT 0 AS style UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) s) p
+  FROM ({_STYLES}) s) p
 GROUP BY p_size, style
 """
 

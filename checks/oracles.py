@@ -576,6 +576,16 @@ ORACLES["export_report"] = whole(
     "SELECT repo_id, 'dependencies', count(*), NULL, NULL, NULL, min(name) FROM d GROUP BY repo_id UNION ALL "
     "SELECT repo_id, 'modules', count(*), NULL, NULL, NULL, min(name) FROM mods GROUP BY repo_id UNION ALL "
     "SELECT repo_id, 'contributors', count(DISTINCT author), NULL, NULL, NULL, min(author) FROM commits_ GROUP BY repo_id", *_K)
+ORACLES["export_documents"] = whole(
+    "SELECT r.repo_id, cast(la.n AS integer) AS languages, cast(fr.n AS integer) AS frameworks, cast(coalesce(de.n, 0) AS integer) AS dependencies, cast(coalesce(mo.n, 0) AS integer) AS modules, "
+    "cast(coalesce(co.n, 0) AS integer) AS contributors, pattern FROM (SELECT DISTINCT repo_id FROM fx) r "
+    f"LEFT JOIN {_COUNTS} LEFT JOIN prof USING (repo_id)")
+ORACLES["scan_corpus"] = ctes(fx("all"), ("f", PARTS)) + "SELECT repo_id, path, ext, md5(content) AS digest FROM f"
+ORACLES["results_store"] = ctes(fx("commits")) + (
+    "SELECT repo_id, author AS name, count(*) * CASE WHEN repo_id IN ('repo1', 'repo2') THEN 2 ELSE 1 END AS commits FROM fx WHERE repo_id <> 'repo3' GROUP BY repo_id, author")
+ORACLES["diagram_text"] = ctes(*unique([fx("all")], ARCH_CTES, [("prof", PROFILE)], NODES)) + (
+    "SELECT repo_id, 'layer' AS type, text FROM (" + ORACLES["layer_diagram"].split("\n)\n")[-1] + ") z1 UNION ALL "
+    "SELECT repo_id, 'directory', text FROM (" + ORACLES["directory_diagram"].split("\n)\n")[-1] + ") z2")
 _TERM = "contains(lower({c}), 'r1')"
 # the generated sources of the whole corpus hold these functions; prose has none
 _CALLS = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from corpuslens.operators import (
 from corpuslens.plans import questions, report
 from corpuslens.plans.analysis import Analysis, stored
 from corpuslens.session import staging_folder
+from corpuslens.sources import results
 from corpuslens.sources.corpus import scan_corpus, write_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +47,16 @@ def stamp(column: str):
 
 
 def whole(spark: SparkSession, sf: str) -> Analysis:
-    """The full analysis, as it runs on a cluster: packed corpus, staged fact tables."""
+    """The full analysis, as it runs on a cluster: packed corpus, staged fact tables.
+
+    Queries of one application share the staged tables of a scale factor.
+    """
+    return _analysis(spark.sparkContext.applicationId, sf)
+
+
+@cache
+def _analysis(application: str, sf: str) -> Analysis:
+    spark = SparkSession.active()
     folder = staging_folder(spark)
     write_corpus(corpus(spark, sf, "all"), f"{folder}/files", partitions=spark.sparkContext.defaultParallelism)
     return Analysis(scan_corpus(spark, f"{folder}/files"), corpus(spark, sf, "commits"), stored(folder))
@@ -250,6 +261,35 @@ def _(spark, sf):
         F.min(field("$.name")).alias("first_name"))
 
 
+@query("export_documents")
+def _(spark, sf):
+    documents = report.export_documents(report.export_report(whole(spark, sf)), max_items=1_000_000)
+    size = lambda p: F.json_array_length(F.get_json_object("document", p))
+    return documents.select(
+        "repo_id", *[size(f"$.{s}").alias(s) for s in ("languages", "frameworks", "dependencies", "modules", "contributors")],
+        F.get_json_object("document", "$.architecture.pattern").alias("pattern"))
+
+
+@query("scan_corpus")
+def _(spark, sf):
+    folder = staging_folder(spark)
+    write_corpus(corpus(spark, sf, "all"), folder)
+    return scan_corpus(spark, folder).select("repo_id", "path", "ext", F.md5("content").alias("digest"))
+
+
+@query("results_store")
+def _(spark, sf):
+    """Write, replace the newest commits of some repositories, drop one, read everything back."""
+    folder = staging_folder(spark)
+    commits = corpus(spark, sf, "commits")
+    results.write_results(history.contributors(commits).select("repo_id", "name", "commits"), folder, buckets=8)
+    again = history.contributors(commits.where("repo_id IN ('repo1', 'repo2')"))
+    results.write_results(again.select("repo_id", "name", (F.col("commits") * 2).alias("commits")), folder, buckets=8)
+    results.drop_result(spark, folder, "repo3", buckets=8)
+    return results.read_results(spark, folder)
+
+
+QUERIES["diagram_text"] = lambda spark, sf: whole(spark, sf).diagrams.where("type IN ('layer', 'directory')")
 QUERIES["repo_counts"] = lambda spark, sf: report.repo_counts(whole(spark, sf))
 QUERIES["search_entities"] = lambda spark, sf: report.search_entities(whole(spark, sf), "R1")
 over("first_n", "all", lambda df: first_n(

@@ -62,9 +62,9 @@ def test_results_store(spark, tmp_path):
 def test_analysis_is_invariant_and_additive(spark, make_files, make_commits, tmp_path):
     import datetime as dt
     commits = make_commits([(r, "s", "ann", "e", dt.datetime(2024, 1, 1), "m") for r in ("one", "two")])
-    whole = Analysis(make_files(CODE), commits)
-    mixed = Analysis(make_files(CODE[::-1]).repartition(7), commits, stored(str(tmp_path)))
-    alone = Analysis(make_files([r for r in CODE if r[0] == "one"]), commits.where("repo_id = 'one'"))
+    whole = Analysis(make_files(CODE), commits, stored(str(tmp_path / "a")))
+    mixed = Analysis(make_files(CODE[::-1]).repartition(7), commits, stored(str(tmp_path / "b")))
+    alone = Analysis(make_files([r for r in CODE if r[0] == "one"]), commits.where("repo_id = 'one'"), stored(str(tmp_path / "c")))
     for name in ("language_stats", "frameworks", "architecture", "complexity", "health", "directory_nodes", "arch_evidence"):
         table = whole[name].drop("scores")
         columns = sorted(table.columns)
@@ -116,10 +116,10 @@ def test_architecture_golden(make_files):
 
 
 def test_top_n_limits_before_the_shuffle(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("repo_id"), "id")
+    df = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("repo_id"), "id")
     ranked = top_n(df, ["repo_id"], [F.col("id")], 3)
     assert plan(ranked).count("WindowGroupLimit") == 2
-    assert rows_of(ranked, "id", "rank") == [(0, 1), (1, 2), (2, 3)]
+    assert rows_of(ranked.where("repo_id = 'hot'"), "id", "rank") == [(0, 1), (3, 2), (6, 3)]
 
 
 def test_salted_join_keeps_every_row(spark):
