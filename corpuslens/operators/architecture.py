@@ -6,7 +6,7 @@ integer sums (tenths), so no row per hit is produced unless the hits themselves
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -180,8 +180,8 @@ def arch_evidence(files: DataFrame, chosen: DataFrame, n: int = rules.EVIDENCE_I
 
 
 def arch_top5(scores: DataFrame) -> DataFrame:
-    """The five best patterns, each as a share of the best one."""
-    maxima = scores.groupBy("repo_id").agg(F.max("tenths").alias("top"))
-    ranked = top_n(scores, ["repo_id"], [F.col("tenths").desc(), F.col("pattern_no")], 5)
+    """The five best patterns, each as a share of the best one (nine rows per window)."""
+    maxima = scores.withColumn("top", F.max("tenths").over(Window.partitionBy("repo_id")))
+    ranked = top_n(maxima, ["repo_id"], [F.col("tenths").desc(), F.col("pattern_no")], 5)
     share = F.when(F.col("top") > 0, F.col("tenths") * 100 / F.col("top")).otherwise(0.0)
-    return ranked.join(maxima, "repo_id").select("repo_id", "rank", "pattern", "score", share.alias("pct_of_max"))
+    return ranked.select("repo_id", "rank", "pattern", "score", share.alias("pct_of_max"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions import text
-from corpuslens.functions.paths import is_pruned, path_parts, prune_paths
+from corpuslens.functions.paths import path_parts, prune_paths
 from corpuslens.functions.text import literal_map, text_array, universal_newlines
 
 
@@ -67,13 +67,12 @@ def files_classified(files: DataFrame) -> DataFrame:
 def language_stats(classified: DataFrame) -> DataFrame:
     """L3: files, lines and share per language; the share is of all lines, Unknown included.
 
-    One shuffle of partial counts; the repository total is then summed over the few language
-    rows of a repository (at most one per known language).
+    One shuffle of partial counts; the repository total is then a window over the few language
+    rows of a repository (at most one per known language), so the files are read once.
     """
     per_language = classified.groupBy("repo_id", "language").agg(
         F.count_if(F.col("lines") > 0).alias("files"), F.sum("lines").alias("lines"))
-    totals = per_language.groupBy("repo_id").agg(F.sum("lines").alias("total"))
-    shares = per_language.join(totals, "repo_id")
+    shares = per_language.withColumn("total", F.sum("lines").over(Window.partitionBy("repo_id")))
     return shares.where((F.col("language") != "Unknown") & (F.col("lines") > 0)).select(
         "repo_id",
         "language",

@@ -81,7 +81,7 @@ class Analysis:
 
     @cached_property
     def previews(self) -> DataFrame:
-        return file_ops.file_previews(self.files)
+        return self.stage("previews", file_ops.file_previews(self.files))
 
     @cached_property
     def modules(self) -> DataFrame:
