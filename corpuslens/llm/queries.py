@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import fingerprints, ngram_join, packing, token_counts, warc, word_bpe
+from corpuslens.llm import embeddings, fingerprints, ngram_join, packing, token_counts, warc, word_bpe
 from corpuslens.llm.common import tables
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -38,7 +38,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(tables(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(tables(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_bpe, op6_token_counts, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
+        op1_best_fit_packing, op2_bpe, op4_embedding_dedup, op6_token_counts, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
