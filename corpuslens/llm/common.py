@@ -65,3 +65,43 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int,
+    id_column: str = "doc_id", text_column: str = "text",
+) -> list[tuple[int, int, str]]:
+    """(id, label, text) of at most `per_class` labelled rows of each class, for fitting a model on the driver.
+
+    Rows whose id falls into the held-out fold, labels other than 0 and 1, and texts beyond `max_chars` take no
+    part; rows are taken by a hash of their id, equal texts once. At most 2 * per_class ids are broadcast.
+    """
+    fold = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).where(
+        F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+    chosen = None
+    for y in (0, 1):
+        part = fold.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(
+        F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "id").collect()
+    out, seen = [], set()
+    for r in sorted(rows, key=lambda r: (r["id"], r["text"])):
+        if r["text"] not in seen:
+            seen.add(r["text"])
+            out.append((r["id"], r["y"], r["text"]))
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a ridge logistic regression, the intercept first, by Newton's steps."""
+    x = np.c_[np.ones(len(x)), x]
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w))
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (p - y) / len(y) + penalty @ w
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(y) + penalty, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
