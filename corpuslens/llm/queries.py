@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import embeddings, fingerprints, ngram_join, packing, quality, token_counts, toxicity, warc, word_bpe
+from corpuslens.llm import embeddings, fingerprints, ngram_join, packing, privacy, quality, token_counts, toxicity, warc, word_bpe
 from corpuslens.llm.common import tables
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -50,7 +50,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.private_data(tables(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_quality, op6_token_counts, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
+        op1_best_fit_packing, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_quality, op6_token_counts, op7_private_data, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
