@@ -139,7 +139,8 @@ class Parser:
         if self.warc is None:
             if line.startswith(b"WARC/"):
                 self.warc, self.http, self.left = {}, None, 0
-                self.sha, self.size, self.number, self.chunk_left, self.in_head = hashlib.sha1(), 0, 0, -1, True
+                self.sha, self.size, self.unreported, self.number = hashlib.sha1(), 0, 0, 0
+                self.chunk_left, self.in_head = -1, True
             return
         if self.in_head:
             if line.strip():
@@ -162,7 +163,7 @@ class Parser:
                 yield from self._chunked(part)
             else:
                 self._take(part)
-                if self.size and self.left > 0 and self.size >= CHUNK * (self.number + 1):
+                if self.left > 0 and self.unreported >= CHUNK:
                     yield self._row(False)
         if self.left == 0:
             yield self._row(True)
@@ -178,18 +179,20 @@ class Parser:
         self.chunk_left -= len(part)
         if self.chunk_left <= 0:
             self.chunk_left = -1
-            if self.size:
+            if self.unreported:
                 yield self._row(False)
 
     def _take(self, data: bytes) -> None:
         self.sha.update(data)
         self.size += len(data)
+        self.unreported += len(data)
 
     def _row(self, last: bool) -> tuple:
         row = (self.warc["warc-record-id"], self.warc["warc-type"], self.warc.get("warc-refers-to"),
                int(self.warc.get("x-payload-length", self.size)), self.warc.get("warc-payload-digest", "").removeprefix("sha1:"),
                self.number, self.size, base32(self.sha.digest()), last)
         self.number += 1
+        self.unreported = 0
         return row
 
 
