@@ -482,8 +482,8 @@ ORACLES["score_modules"] = asked("SELECT q_id, repo_id, path, score FROM r3")
 ORACLES["relevant_files"] = asked("SELECT * FROM r4")
 ORACLES["relevant_context"] = asked(
     "SELECT q_id, repo_id, string_agg('--- ' || path || ' ---' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS context FROM r4 GROUP BY q_id, repo_id")
-ORACLES["history_window"] = ctes(("qs", duckdb_sql("questions"))) + (
-    "SELECT conv_id, turn, repo_id, text FROM (SELECT q_id // 1000 AS conv_id, q_id % 1000 AS turn, repo_id, text, row_number() OVER (PARTITION BY q_id // 1000 ORDER BY q_id DESC) AS back FROM qs) z WHERE back <= 10")
+ORACLES["history_window"] = (
+    "SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) z WHERE back <= 10")
 ORACLES["source_attribution"] = ctes(("a", duckdb_sql("answers")), fx("files"), ("f", PARTS), ("pv", dict(RETRIEVAL_CTES)["pv"])) + (
     "SELECT answer_id, repo_id, path, cast(rank AS integer) AS rank FROM (SELECT answer_id, a.repo_id, path, row_number() OVER (PARTITION BY answer_id ORDER BY path) AS rank "
     "FROM a JOIN pv ON a.repo_id = pv.repo_id AND (contains(text, path) OR contains(text, name))) z WHERE rank <= 10")
@@ -505,7 +505,7 @@ _PROMPT = [
            f"SELECT repo_id, 11, '', {q(rules.PROMPT_CLOSING)} FROM (SELECT DISTINCT repo_id FROM fx) r"),
 ]
 ORACLES["prompt_context"] = whole(
-    "SELECT repo_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY section, item) AS text FROM pl GROUP BY repo_id", *_PROMPT)
+    "SELECT repo_id, section, item, line FROM pl", *_PROMPT)
 
 # --- diagrams -----------------------------------------------------------------------------------------------------------
 NODES = [

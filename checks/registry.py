@@ -181,8 +181,8 @@ QUERIES["health_label"] = lambda spark, sf: whole(spark, sf)["health"].select(
 
 # --- questions ----------------------------------------------------------------------------------------
 over("question_keywords", "questions", retrieval.question_keywords)
-over("history_window", "questions", lambda df: retrieval.history_window(df.select(
-    F.floor(F.col("q_id") / 1000).alias("conv_id"), (F.col("q_id") % 1000).alias("turn"), "repo_id", "text")))
+QUERIES["history_window"] = lambda spark, sf: retrieval.history_window(
+    spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text"))
 
 
 def _retrieval(spark, sf):
@@ -218,7 +218,7 @@ def _(spark, sf):
     return retrieval.source_attribution(corpus(spark, sf, "answers"), files.file_previews(corpus(spark, sf, "files")))
 
 
-QUERIES["prompt_context"] = lambda spark, sf: questions.prompt_context(whole(spark, sf))
+QUERIES["prompt_context"] = lambda spark, sf: questions.prompt_lines(whole(spark, sf))
 
 
 # --- diagrams -----------------------------------------------------------------------------------------
@@ -263,11 +263,13 @@ def _(spark, sf):
 
 @query("export_documents")
 def _(spark, sf):
-    documents = report.export_documents(report.export_report(whole(spark, sf)), max_items=1_000_000)
-    size = lambda p: F.json_array_length(F.get_json_object("document", p))
-    return documents.select(
-        "repo_id", *[size(f"$.{s}").alias(s) for s in ("languages", "frameworks", "dependencies", "modules", "contributors")],
-        F.get_json_object("document", "$.architecture.pattern").alias("pattern"))
+    """What a reader of the exported rows finds for each repository: its head and the number of rows of each list."""
+    rows = report.export_report(whole(spark, sf))
+    of_head = lambda p: F.max(F.when(F.col("section") == "report", F.get_json_object("body", p)))
+    return rows.groupBy("repo_id").agg(
+        *[F.json_array_length(of_head(f"$.{s}")).alias(s) for s in ("languages", "frameworks")],
+        *[F.count_if(F.col("section") == s).cast("int").alias(s) for s in report.REPORT_LISTS],
+        of_head("$.architecture.pattern").alias("pattern"))
 
 
 @query("scan_corpus")

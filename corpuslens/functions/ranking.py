@@ -1,4 +1,4 @@
-"""First n rows per key, and text assembled from rows under a size guard."""
+"""First n rows per key, and joins of many rows with one row per key."""
 
 from __future__ import annotations
 
@@ -6,20 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SALTS = 32
-
 
 def salted_join(
-    big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int = SALTS,
+    big: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner", salts: int | None = None,
 ) -> DataFrame:
     """Join many rows per key to at most one row per key.
 
     The single row is repeated for every salt and the many rows are spread over the salts by a hash
-    of ``spread``, so a key with a third of all rows becomes ``salts`` tasks.  The hash is of the
-    data, so a retried task computes the same rows.
+    of ``spread``, so a key with a third of all rows becomes ``salts`` tasks: as many as the session
+    shuffles into, unless given.  The hash is of the data, so a retried task computes the same rows.
     """
+    salts = salts or int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -38,19 +37,3 @@ def first_n(df: DataFrame, n: int, order: list[Column], keys: list[str] | None =
     """Q2: a view's first ``n`` rows per repository."""
     return top_n(df, keys or ["repo_id"], order, n)
 
-
-def assemble_lines(lines: DataFrame, keys: list[str], order: list[str], max_lines: int = 10_000) -> DataFrame:
-    """One text per key from a table of ``line`` rows.
-
-    ``lines`` is the whole result.  A text is one row, so it is only built where a counted
-    number of lines fits; for a larger key ``text`` is NULL and the rows stay the answer.
-    """
-    counts = lines.groupBy(*keys).agg(F.count("*").alias("n_lines"))
-    small = counts.where(F.col("n_lines") <= max_lines).select(*keys)
-    texts = (
-        salted_join(lines, small, keys, "line", how="left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct(*order, "line"))).alias("rows"))
-        .select(*keys, F.array_join(F.col("rows.line"), "\n").alias("text"))
-    )
-    return counts.join(texts, keys, "left")

@@ -29,42 +29,41 @@ def _defined(first_line: Column, definition: str) -> Column:
 
 
 def _called(piece: Column) -> Column:
-    return F.filter(find_all(piece, pattern(one_line(rules.CALL))), lambda c: ~c.isin(rules.NOT_CALLS))
+    return F.filter(find_all(piece, pattern(one_line(rules.CALL_LINEAR))), lambda c: ~c.isin(rules.NOT_CALLS))
 
 
 def generic_functions(files: DataFrame) -> DataFrame:
     """Functions of the pattern languages with their calls, last definition of a name only.
 
-    A file is one row, so the partial aggregation already keeps one call list per function before
-    the shuffle on (repo_id, path, fn).
+    A file is one row, so the last definition of a name is found inside it: the definitions are sorted by name
+    and place, and one stays where the next has another name. Nothing is shuffled.
     """
     sources = with_text(prune_paths(files, "P1")).where(F.col("ext").isin(list(rules.CALL_DEFINITIONS)))
-    pieces = F.lit(None).cast("array<string>")
-    for ext, definition in reversed(rules.CALL_DEFINITIONS.items()):
-        pieces = F.when(F.col("ext") == ext, _pieces(F.col("text"), definition)).otherwise(pieces)
-    rows = sources.select("repo_id", "path", "ext", F.posexplode(pieces).alias("at", "piece"))
-
-    first_line = F.substring_index("piece", "\n", 1)
-    defined = F.lit(None).cast("array<string>")
-    for ext, definition in reversed(rules.CALL_DEFINITIONS.items()):
-        defined = F.when(F.col("ext") == ext, _defined(first_line, definition)).otherwise(defined)
-    rows = rows.select("repo_id", "path", "at", defined.alias("defined"), _called(F.col("piece")).alias("called"))
-
-    # several definitions on one line: each restarts its list, the last one receives the calls
     none = F.array().cast("array<string>")
-    rows = rows.select(
-        "repo_id", "path", "at", F.size("defined").alias("n"), F.posexplode("defined").alias("nth", "fn"), "called")
-    rows = rows.withColumn("callees", F.when(F.col("nth") == F.col("n") - 1, F.col("called")).otherwise(none))
-    return rows.groupBy("repo_id", "path", "fn").agg(
-        F.max_by("callees", F.struct("at", "nth")).alias("callees"))
+
+    def by_extension(of) -> Column:
+        found = F.lit(None).cast("array<string>")
+        for ext, definition in reversed(rules.CALL_DEFINITIONS.items()):
+            found = F.when(F.col("ext") == ext, of(definition)).otherwise(found)
+        return found
+
+    rows = sources.select("repo_id", "path", "ext", by_extension(lambda d: _pieces(F.col("text"), d)).alias("pieces"))
+
+    def defined_in(piece: Column, at: Column) -> Column:
+        names = by_extension(lambda d: _defined(F.substring_index(piece, "\n", 1), d))
+        # several definitions on one line: each restarts its list, the last one receives the calls
+        return F.transform(names, lambda fn, nth: F.struct(
+            fn.alias("fn"), at.alias("at"), nth.alias("nth"),
+            F.when(nth == F.size(names) - 1, _called(piece)).otherwise(none).alias("callees")))
+
+    rows = rows.select("repo_id", "path", F.array_sort(F.flatten(F.transform("pieces", defined_in))).alias("defined"))
+    last = F.filter("defined", lambda d, i: F.coalesce(F.get("defined", i + 1)["fn"] != d["fn"], F.lit(True)))
+    return rows.select("repo_id", "path", F.explode(last).alias("d")).select("repo_id", "path", "d.fn", "d.callees")
 
 
 def python_functions(facts: DataFrame) -> DataFrame:
     """Python functions with the calls whose innermost enclosing function they are."""
-    per_file = facts.select(
-        "repo_id", "path", "calls", F.explode(F.array_distinct("functions.name")).alias("fn"))
-    own = F.filter("calls", lambda c: c["caller"] == F.col("fn"))
-    return per_file.select("repo_id", "path", "fn", F.transform(own, lambda c: c["callee"]).alias("callees"))
+    return facts.select("repo_id", "path", F.explode("graph").alias("g")).select("repo_id", "path", "g.fn", "g.callees")
 
 
 def call_graph(functions: DataFrame) -> DataFrame:

@@ -35,8 +35,12 @@ def npm_packages(text: Column) -> Column:
 
     def packages(section: str, label: str) -> Column:
         entries = F.coalesce(F.map_entries(parsed[section]), none)
+        names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        # of a key that stands twice the last value counts, at the place of the first
+        last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["key"] == n), -1))
+        once = F.when(F.size(names) == F.size(entries), entries).otherwise(last)
         return F.transform(
-            entries, lambda e: _row(e["key"], lstrip(e["value"], rules.VERSION_PREFIX_CHARS), F.lit(label)))
+            once, lambda e: _row(e["key"], lstrip(e["value"], rules.VERSION_PREFIX_CHARS), F.lit(label)))
 
     return F.concat(*[packages(section, label) for section, label in rules.NPM_GROUPS])
 
@@ -100,14 +104,22 @@ def pub_packages(text: Column) -> Column:
     return F.transform(split, lambda p: _row(_piece(p, 0), _piece(p, 1)))
 
 
-MAVEN_BLOCK = (r"(?s)<dependency>.*?<groupId>(.*?)</groupId>.*?<artifactId>(.*?)</artifactId>"
-               r".*?<version>(.*?)</version>.*?</dependency>")
+# each step goes to the next mark and is never taken back, so a block without a version costs one look ahead
+MAVEN_BLOCK = (r"(?s)<dependency>(?>.*?<groupId>)(?>(.*?)</groupId>)(?>.*?<artifactId>)(?>(.*?)</artifactId>)"
+               r"(?>.*?<version>)(?>(.*?)</version>)(?>.*?</dependency>)")
 
 
 def maven_packages(text: Column) -> Column:
-    blocks = find_fields(text, MAVEN_BLOCK, organisation=1, artifact=2, version=3)
-    return F.transform(
+    """A block without a version takes the next one in the file; after the last version nothing can match."""
+    closed = F.substring(text, 1, F.length(text) - F.length(F.substring_index(text, "</dependency>", -1)))
+    rest = F.substring_index(closed, "</version>", -1)
+    last = F.concat(F.substring_index(rest, "</dependency>", 1), F.lit("</dependency>"))
+    cut = F.concat(F.substring(closed, 1, F.length(closed) - F.length(rest)), last)
+    blocks = find_fields(cut, MAVEN_BLOCK, organisation=1, artifact=2, version=3)
+    found = F.transform(
         blocks, lambda b: _row(F.concat_ws(".", b["organisation"], b["artifact"]), b["version"]))
+    none = F.expr("CAST(array() AS array<struct<name:string,version:string,dep_group:string>>)")
+    return F.when(F.contains(closed, F.lit("</version>")), found).otherwise(none)
 
 
 FORMATS: dict[str, Callable[[Column], Column]] = {

@@ -26,7 +26,7 @@ FACTS_SCHEMA = """
     imports array<string>,
     classes array<struct<name: string, bases: array<string>, methods: array<string>, line: int>>,
     functions array<struct<name: string, decorators: array<string>, line: int, length: int, complexity: int>>,
-    calls array<struct<caller: string, callee: string>>
+    graph array<struct<fn: string, callees: array<string>>>
 """
 
 
@@ -39,9 +39,13 @@ def _short(node: ast.AST) -> str:
 
 
 def _dotted(node: ast.AST) -> str:
-    if isinstance(node, ast.Name):
-        return node.id
-    return f"{_dotted(node.value)}.{node.attr}" if isinstance(node, ast.Attribute) else ""
+    """Names of an attribute chain; a chain that starts with anything but a name has an empty first part."""
+    parts: list[str] = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    parts.append(node.id if isinstance(node, ast.Name) else "")
+    return ".".join(reversed(parts))
 
 
 BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.Assert)
@@ -98,17 +102,31 @@ def file_facts(source: str) -> dict:
     return {kind: [fact for _, fact in sorted(rows, key=lambda r: r[0])] for kind, rows in found.items()}
 
 
+#: rows of a batch that are Python objects at a time, whatever the session's batch size
+SLICE = 64
+NO_FACTS = {"parse_error": True, "imports": [], "classes": [], "functions": [], "graph": []}
+
+
+def _facts(source: str | None) -> dict:
+    """One file that does not parse, or has no content, must not lose its repository."""
+    try:
+        if source is None:
+            return NO_FACTS
+        found = file_facts(source)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return NO_FACTS
+    callees: dict[str, list[str]] = {f["name"]: [] for f in found["functions"]}
+    for call in found.pop("calls"):
+        callees[call["caller"]].append(call["callee"])
+    return {"parse_error": False, **found, "graph": [{"fn": f, "callees": c} for f, c in callees.items()]}
+
+
 def _facts_of_batches(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for row in batch.to_pylist():
-            try:
-                facts = {"parse_error": False, **file_facts(row["text"])}
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
-                # one file that does not parse must not lose its repository
-                facts = {"parse_error": True, "imports": [], "classes": [], "functions": [], "calls": []}
-            rows.append({"repo_id": row["repo_id"], "path": row["path"], **facts})
-        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        for start in range(0, batch.num_rows, SLICE):
+            rows = [{"repo_id": row["repo_id"], "path": row["path"], **_facts(row["text"])}
+                    for row in batch.slice(start, SLICE).to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _arrow_schema() -> pa.Schema:
@@ -120,7 +138,7 @@ def _arrow_schema() -> pa.Schema:
         ("functions", pa.list_(pa.struct(
             [("name", pa.string()), ("decorators", texts), ("line", pa.int32()), ("length", pa.int32()),
              ("complexity", pa.int32())]))),
-        ("calls", pa.list_(pa.struct([("caller", pa.string()), ("callee", pa.string())]))),
+        ("graph", pa.list_(pa.struct([("fn", pa.string()), ("callees", texts)]))),
     ])
 
 

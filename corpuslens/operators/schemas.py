@@ -87,7 +87,7 @@ def django_tables(text: Column) -> Column:
     models = find_fields(text, pattern(rules.DJANGO_MODEL, dotall=True), name=1, body=2)
 
     def columns(body: Column) -> Column:
-        found = find_fields(body, pattern(rules.DJANGO_FIELD), name=1, type=2)
+        found = find_fields(body, pattern(rules.DJANGO_FIELD_LINEAR), name=1, type=2)
         return F.transform(found, lambda c: _column(c["name"], c["type"], c["type"] == "AutoField"))
 
     return F.transform(models, lambda m: _table(m["name"], columns(m["body"])))
@@ -98,7 +98,7 @@ def sqlalchemy_tables(text: Column) -> Column:
     models = find_fields(text, pattern(rules.SQLALCHEMY_MODEL, dotall=True), name=1, body=2)
 
     def columns(body: Column) -> Column:
-        names = find_all(body, pattern(rules.SQLALCHEMY_COLUMN))
+        names = find_all(body, pattern(rules.SQLALCHEMY_COLUMN_LINEAR))
         return F.transform(names, lambda n: _column(n, F.lit("Column"), F.lit(False)))
 
     return F.transform(models, lambda m: _table(m["name"], columns(m["body"])))
@@ -109,7 +109,7 @@ def typeorm_tables(text: Column) -> Column:
     entities = find_fields(text, pattern(rules.TYPEORM_ENTITY, dotall=True), name=1, body=2)
 
     def columns(body: Column) -> Column:
-        found = find_fields(body, pattern(rules.TYPEORM_PROPERTY), name=1, type=2)
+        found = find_fields(body, pattern(rules.TYPEORM_PROPERTY_LINEAR), name=1, type=2)
         kept = F.filter(found, lambda c: ~c["name"].isin(rules.TYPEORM_NOT_PROPERTIES))
         return F.transform(kept, lambda c: _column(c["name"], c["type"], F.lit(False)))
 

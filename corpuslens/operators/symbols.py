@@ -6,7 +6,7 @@ language is an array expression over the text.  `symbols` is its long form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -23,7 +23,7 @@ def _nothing() -> Column:
 
 
 def _js_function_names(text: Column) -> Column:
-    regex = pattern(rules.JS_FUNCTION)
+    regex = pattern(rules.JS_FUNCTION_LINEAR)
     # one pass over the text; a match alone matches again in the same way, and exactly one of its
     # three alternatives captures
     names = F.transform(find_all(text, regex, 0), lambda m: F.concat(*[F.regexp_extract(m, regex, g) for g in (1, 2, 3)]))
@@ -40,7 +40,7 @@ def _jsts(text: Column) -> dict[str, Column]:
 
 
 def _java(text: Column) -> dict[str, Column]:
-    return {"imports": find_all(text, pattern(rules.JAVA_IMPORT)), "classes": find_all(text, pattern(rules.JAVA_CLASS))}
+    return {"imports": find_all(text, pattern(rules.JAVA_IMPORT)), "classes": find_all(text, pattern(rules.JAVA_CLASS_LINEAR))}
 
 
 def _go(text: Column) -> dict[str, Column]:
@@ -179,16 +179,20 @@ def python_definitions(facts: DataFrame) -> DataFrame:
         "repo_id", "path", "d.*")
 
 
-def _with_line(matches: DataFrame) -> DataFrame:
-    """Line of each match: newlines in everything before it.  One file's matches form a window,
-    so a window is never larger than what one content value holds."""
-    before = Window.partitionBy("repo_id", "path", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("whole_nl").over(before), F.lit(0))
-    return matches.withColumn("line", (earlier + F.col("gap_nl") + 1).cast("int")).drop("whole_nl", "gap_nl", "at")
+def _with_line(located: Column) -> Column:
+    """Line of each match: newlines in everything before it, summed up inside the row."""
+    empty = F.expr("CAST(array() AS array<struct<kind:string,line:int,g1:string,g2:string,g3:string>>)")
+
+    def step(acc: Column, m: Column) -> Column:
+        line = (acc["newlines"] + m["gap_nl"] + 1).cast("int")
+        here = F.struct(m["kind"].alias("kind"), line.alias("line"), m["g1"].alias("g1"), m["g2"].alias("g2"), m["g3"].alias("g3"))
+        return F.struct((acc["newlines"] + m["whole_nl"]).alias("newlines"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    return F.aggregate(located, F.struct(F.lit(0).cast("long").alias("newlines"), empty.alias("out")), step, lambda acc: acc["out"])
 
 
 def _located(text: Column, body: str, kind: str, groups: list[int]) -> Column:
-    """Matches as structs carrying the newline counts of the gap before and of gap plus match."""
+    """Matches as structs with their line."""
     # \G: a match starts where the last one ended, so text after the last match is scanned once
     regex = pattern(r"\G(?s:(.*?))(?:" + body + ")")
     fields = {"whole": 0, "gap": 1} | {f"g{g}": g + 1 for g in groups}
@@ -197,10 +201,9 @@ def _located(text: Column, body: str, kind: str, groups: list[int]) -> Column:
     def group(m: Column, g: int) -> Column:
         return m[f"g{g}"] if g in groups else F.lit("")
 
-    return F.transform(found, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("at"), newline_count(m["whole"]).alias("whole_nl"),
-        newline_count(m["gap"]).alias("gap_nl"),
-        group(m, 1).alias("g1"), group(m, 2).alias("g2"), group(m, 3).alias("g3")))
+    return _with_line(F.transform(found, lambda m: F.struct(
+        F.lit(kind).alias("kind"), newline_count(m["whole"]).alias("whole_nl"), newline_count(m["gap"]).alias("gap_nl"),
+        group(m, 1).alias("g1"), group(m, 2).alias("g2"), group(m, 3).alias("g3"))))
 
 
 def jsts_definitions(files: DataFrame) -> DataFrame:
@@ -208,9 +211,9 @@ def jsts_definitions(files: DataFrame) -> DataFrame:
     text = F.col("text")
     found = F.concat(
         _located(text, rules.JS_CLASS, "class", [1, 2]),
-        _located(text, rules.JS_FUNCTION, "function", [1, 2, 3]))
+        _located(text, rules.JS_FUNCTION_LINEAR, "function", [1, 2, 3]))
     rows = _sources(files, LANGUAGES[0][0]).select("repo_id", "path", F.explode(found).alias("m"))
-    rows = _with_line(rows.select("repo_id", "path", "m.*"))
+    rows = rows.select("repo_id", "path", "m.*")
     is_class = F.col("kind") == "class"
     return rows.select(
         "repo_id", "path", "kind", "line",
@@ -221,9 +224,9 @@ def jsts_definitions(files: DataFrame) -> DataFrame:
 
 def java_definitions(files: DataFrame) -> DataFrame:
     """Java classes with base, interfaces and line."""
-    found = _located(F.col("text"), rules.JAVA_CLASS, "class", [1, 2, 3])
+    found = _located(F.col("text"), rules.JAVA_CLASS_LINEAR, "class", [1, 2, 3])
     rows = _sources(files, [".java"]).select("repo_id", "path", F.explode(found).alias("m"))
-    rows = _with_line(rows.select("repo_id", "path", "m.*"))
+    rows = rows.select("repo_id", "path", "m.*")
     interfaces = F.transform(F.split("g3", ","), lambda i: strip(i))
     return rows.select(
         "repo_id", "path", "kind", "line", F.col("g1").alias("name"),

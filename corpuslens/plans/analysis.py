@@ -54,7 +54,8 @@ def counted(df: DataFrame, name: str) -> DataFrame:
 class Analysis:
     """Result tables by name, as attributes or items."""
 
-    def __init__(self, files: DataFrame, commits: DataFrame, stage: Stage = lazily) -> None:
+    def __init__(self, files: DataFrame, commits: DataFrame, stage: Stage = lazily, repos: DataFrame | None = None) -> None:
+        self._repos = repos
         self.files = files
         self.commits = commits
         self.stage = stage
@@ -69,7 +70,10 @@ class Analysis:
 
     @cached_property
     def repos(self) -> DataFrame:
-        return self.file_facts.select("repo_id").distinct()
+        """Every repository has a result: given ones, or all with a file (pruned ones too) or a commit."""
+        if self._repos is not None:
+            return self._repos
+        return self.files.select("repo_id").union(self.commits.select("repo_id")).distinct()
 
     @cached_property
     def files_classified(self) -> DataFrame:
@@ -89,7 +93,7 @@ class Analysis:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return calls.all_functions(self.files, self.python_facts)
+        return self.stage("functions", calls.all_functions(self.files, self.python_facts))
 
     @cached_property
     def call_graph(self) -> DataFrame:

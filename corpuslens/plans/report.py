@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.ranking import assemble_lines
 from corpuslens.plans.analysis import Analysis, counted
 
 
@@ -27,7 +26,7 @@ def analysis_summary(t: Analysis, repos: DataFrame | None = None) -> DataFrame:
     for side in (
         _few(t["language_stats"], "languages", ["language"]),
         _few(t["frameworks"], "frameworks", ["rule_no"]),
-        _one(t["architecture"].drop("scores"), "architecture"),
+        _one(t["architecture"], "architecture"),
         _one(t["complexity"], "complexity"),
         t["health"].select("repo_id", F.col("overall").alias("health_score")),
         counted(t["dependencies"], "dependencies_count"),
@@ -105,24 +104,6 @@ def export_report(t: Analysis, repos: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def export_documents(report: DataFrame, max_items: int = 10_000) -> DataFrame:
-    """S8 as one JSON document per repository.
-
-    The lists are put into the document where a counted number of items fits; the list of a larger
-    repository is null there and stays in the rows of `export_report`.
-    """
-    head = report.where("section = 'report'").select("repo_id", F.col("body").alias("head"))
-    for section in REPORT_LISTS:
-        items = report.where(F.col("section") == section).select("repo_id", "item", F.col("body").alias("line"))
-        texts = assemble_lines(items, ["repo_id"], ["item"], max_items).select(
-            "repo_id", F.when(F.col("text").isNotNull(), F.concat(
-                F.lit("["), F.replace("text", F.lit("\n"), F.lit(",")), F.lit("]"))).otherwise("null").alias(section))
-        head = head.join(texts, "repo_id", "left")
-    lists = [F.concat(F.lit(f',"{s}":'), F.coalesce(s, F.lit("[]"))) for s in REPORT_LISTS]
-    return head.select("repo_id", F.concat(
-        F.expr("substr(head, 1, length(head) - 1)"), *lists, F.lit("}")).alias("document"))
-
-
 def write_report(report: DataFrame, out: str) -> None:
     """JSON lines; the range partitioning keeps a repository's rows together and in order."""
     ordered = report.repartitionByRange("repo_id", "section", "item").sortWithinPartitions("repo_id", "section", "item")

@@ -214,10 +214,17 @@ JS_EXPORTS = [  # (pattern, group)
 JS_CLASS = r"class\s+(\w+)(?:\s+extends\s+(\w+))?"
 JS_FUNCTION = (r"(?:async\s+)?function\s+(\w+)|(\w+)\s*=\s*(?:async\s+)?\([^)]*\)\s*=>"
                r"|(\w+)\s*\([^)]*\)\s*\{")
+#: The same matches, each run of word characters or blanks entered once: time linear in the text.
+JS_FUNCTION_LINEAR = (r"(?:async\s++)?function\s++(\w++)|(?<!\w)(\w++)\s*+=\s*+(?:async\s++)?\([^)]*+\)\s*+=>"
+                      r"|(?<!\w)(\w++)\s*+\([^)]*+\)\s*+\{")
 JS_NOT_FUNCTIONS = ["if", "while", "for", "switch", "catch"]
 JAVA_IMPORT = r"import\s+([\w.]+);"
 JAVA_CLASS = (r"(?:public|private|protected)?\s*(?:abstract|final)?\s*class\s+(\w+)"
               r"(?:\s+extends\s+(\w+))?(?:\s+implements\s+([\w,\s]+))?")
+#: The same matches; blanks before a class belong to the match only from the first of them on.
+JAVA_CLASS_LINEAR = (r"(?:(?:public|private|protected)\s*+(?:(?:abstract|final)\s*+)?"
+                     r"|(?:(?<!\s)\s++)?(?:(?:abstract|final)\s*+)?)class\s++(\w++)"
+                     r"(?:\s++extends\s++(\w++))?+(?:\s++implements\s++([\w,\s]+))?")
 GO_IMPORT_BLOCK = r"import\s+\((.*?)\)"
 GO_IMPORT_ITEM = r'"([^"]+)"'
 GO_IMPORT = r'import\s+"([^"]+)"'
@@ -242,6 +249,8 @@ CALL_DEFINITIONS = {
     ".rb": r"def\s+(\w+)",
 }
 CALL = r"(\w+)\s*\("
+#: The same matches, each run of word characters entered once.
+CALL_LINEAR = r"(?<!\w)(\w++)\s*+\("
 NOT_CALLS = ["if", "while", "for", "switch", "catch", "return", "throw", "typeof", "instanceof",
              "new", "delete", "function"]
 
@@ -272,10 +281,13 @@ ALEMBIC_TABLE = r"""op\.create_table\(\s*['"](\w+)['"]\s*,\s*(.*?)(?=\)\s*\))"""
 ALEMBIC_COLUMN = r"""sa\.Column\(\s*['"](\w+)['"]\s*,\s*sa\.(\w+)"""
 DJANGO_MODEL = r"class\s+(\w+)\s*\(.*?models\.\w+.*?\)\s*:\s*\n(.*?)(?=\nclass|\z)"
 DJANGO_FIELD = r"(\w+)\s*=\s*models\.(\w+)\("
+DJANGO_FIELD_LINEAR = r"(?<!\w)(\w++)\s*+=\s*+models\.(\w++)\("
 SQLALCHEMY_MODEL = r"class\s+(\w+)\s*\(.*?Base.*?\)\s*:\s*\n(.*?)(?=\nclass|\z)"
 SQLALCHEMY_COLUMN = r"(\w+)\s*=\s*Column\("
+SQLALCHEMY_COLUMN_LINEAR = r"(?<!\w)(\w++)\s*+=\s*+Column\("
 TYPEORM_ENTITY = r"@Entity.*?\n\s*class\s+(\w+).*?\{([^}]*)\}"
 TYPEORM_PROPERTY = r"(\w+)\s*[:=]\s*(\w+)"
+TYPEORM_PROPERTY_LINEAR = r"(?<!\w)(\w++)\s*+[:=]\s*+(\w++)"
 TYPEORM_NOT_PROPERTIES = ["export", "default", "class", "extends", "implements"]
 PRISMA_MODEL = r"model\s+(\w+)\s*\{([^}]*)\}"
 PRISMA_FIELD = r"^\s+(\w+)\s+(\w+(?:\s*\[\])?)\s*(@relation\([^)]*\))?\s*$"

@@ -21,8 +21,11 @@ def _bucket(buckets: int) -> Column:
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        # a store that cannot be read must not be taken for an empty one, and be overwritten
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _replace_buckets(rows: DataFrame, path: str) -> None:

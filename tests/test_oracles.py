@@ -25,11 +25,7 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
 
-# the analysis is rebuilt by each of these; `health` and `prompt_context` stand for them here
-REBUILT = {"health_breakdown", "health_label", "recommendations", "summary", "repo_counts", "export_report", "search_entities"}
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in REBUILT])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     physical = df._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from corpuslens.functions.ranking import assemble_lines, salted_join, top_n
+from corpuslens.functions.ranking import salted_join, top_n
 from corpuslens.operators import architecture, calls, diagrams, files, manifests, pyfacts, symbols
 from corpuslens.plans import questions, report
 from corpuslens.plans.analysis import Analysis, stored
@@ -70,17 +70,17 @@ def test_analysis_is_invariant_and_additive(spark, make_files, make_commits, tmp
         columns = sorted(table.columns)
         assert rows_of(table, *columns) == rows_of(mixed[name], *columns), name
         assert rows_of(table.where("repo_id = 'one'"), *columns) == rows_of(alone[name], *columns), name
-    prompts = dict(rows_of(questions.prompt_context(whole), "repo_id", "text"))
-    assert prompts["one"].startswith("You are a code analysis assistant for the repository 'one'.\n\nREADME:\n# security")
-    assert "  t: id INT\n\nDependencies: express\n\n\nAnswer the user's question" in prompts["one"]
-    exported = report.export_report(whole)
-    document = json.loads(rows_of(report.export_documents(exported).where("repo_id = 'two'"), "document")[0][0])
-    assert document["database_tables"] == 1 and document["commit_count"] == 1
-    assert [m["path"] for m in document["modules"]] == ["src/controllers/user.py", "src/models/a.js", "tests/t.go"]
-    assert document["dependencies"][0]["name"] == "express" and document["health_score"] > 0
-    # beyond the bound, a list stays in the rows
-    small = json.loads(rows_of(report.export_documents(exported, 2).where("repo_id = 'two'"), "document")[0][0])
-    assert small["modules"] is None and len(small["dependencies"]) == 1
+    prompt = "\n".join(r[2] for r in rows_of(questions.prompt_lines(whole).where("repo_id = 'one'"), *questions.ORDER, "line"))
+    assert prompt.startswith("You are a code analysis assistant for the repository 'one'.\n\nREADME:\n# security")
+    assert "  t: id INT\n\nDependencies: express\n\n\nAnswer the user's question" in prompt
+    exported = report.export_report(whole).where("repo_id = 'two'")
+    bodies = {s: [json.loads(b) for _, b in rows_of(exported.where(F.col("section") == s), "item", "body")]
+              for s in ("report", *report.REPORT_LISTS)}
+    head = bodies["report"][0]
+    assert head["database_tables"] == 1 and head["commit_count"] == 1 and head["health_score"] > 0
+    assert head["architecture"]["scores"][head["architecture"]["pattern"]] > 0
+    assert [m["path"] for m in bodies["modules"]] == ["src/controllers/user.py", "src/models/a.js", "tests/t.go"]
+    assert bodies["dependencies"][0]["name"] == "express"
     assert rows_of(report.repo_counts(whole).where("repo_id = 'one'"), "contributors", "languages", "dependencies", "modules") == [(1, 6, 1, 3)]
     found = rows_of(report.search_entities(whole, "EXP").where("repo_id = 'one'"), "entity", "key")
     assert found == [("dependency", "express"), ("framework", "express")]
@@ -129,15 +129,21 @@ def test_salted_join_keeps_every_row(spark):
     assert salted_join(big, small, ["k"], "id", how="left_semi").count() == 300
 
 
-def test_assemble_lines_guards_its_size(spark):
-    rows = [("a", i, f"l{i}") for i in range(3)] + [("b", i, "x") for i in range(9)]
-    got = assemble_lines(spark.createDataFrame(rows, "k string, n int, line string"), ["k"], ["n"], 5)
-    assert rows_of(got, "k", "n_lines", "text") == [("a", 3, "l0\nl1\nl2"), ("b", 9, None)]
-
-
 def test_fact_extraction_needs_no_shuffle(make_files):
     df = make_files(CODE)
     for table in (manifests.dependencies(df), symbols.modules(df), files.files_classified(df), files.file_previews(df),
                   pyfacts.python_facts(df)):
         assert "Exchange" not in plan(table)
-    assert plan(calls.generic_functions(df)).count("Exchange ") == 1
+    assert "Exchange" not in plan(calls.generic_functions(df))
+    assert "Exchange" not in plan(symbols.jsts_definitions(df))
+
+
+def test_every_repository_has_a_result(spark, make_files, make_commits, tmp_path):
+    import datetime as dt
+    found = make_files([("pruned", "node_modules/x.js", "x"), ("usual", "a.py", "x = 1")])
+    commits = make_commits([("empty", "s", "ann", "e", dt.datetime(2024, 1, 1), "m")])
+    whole = Analysis(found, commits, stored(str(tmp_path / "a")))
+    for table in (whole.health, report.analysis_summary(whole), report.repo_counts(whole)):
+        assert [r[0] for r in rows_of(table, "repo_id")] == ["empty", "pruned", "usual"]
+    given = Analysis(found, commits, stored(str(tmp_path / "b")), repos=spark.createDataFrame([("named",)], "repo_id string"))
+    assert rows_of(given.health, "repo_id") == [("named",)]
