@@ -583,6 +583,8 @@ ORACLES["export_documents"] = whole(
 ORACLES["scan_corpus"] = ctes(fx("all"), ("f", PARTS)) + "SELECT repo_id, path, ext, md5(content) AS digest FROM f"
 ORACLES["results_store"] = ctes(fx("commits")) + (
     "SELECT repo_id, author AS name, count(*) * CASE WHEN repo_id IN ('repo1', 'repo2') THEN 2 ELSE 1 END AS commits FROM fx WHERE repo_id <> 'repo3' GROUP BY repo_id, author")
+ORACLES["result_of_one"] = ctes(fx("commits")) + (
+    "SELECT repo_id, author AS name, count(*) AS commits FROM fx WHERE repo_id = 'repo1' GROUP BY repo_id, author")
 ORACLES["diagram_text"] = ctes(*unique([fx("all")], ARCH_CTES, [("prof", PROFILE)], NODES)) + (
     "SELECT repo_id, 'layer' AS type, text FROM (" + ORACLES["layer_diagram"].split("\n)\n")[-1] + ") z1 UNION ALL "
     "SELECT repo_id, 'directory', text FROM (" + ORACLES["directory_diagram"].split("\n)\n")[-1] + ") z2")

@@ -286,11 +286,19 @@ def _(spark, sf):
     commits = corpus(spark, sf, "commits")
     results.write_results(history.contributors(commits).select("repo_id", "name", "commits"), folder, buckets=8)
     again = history.contributors(commits.where("repo_id IN ('repo1', 'repo2')"))
-    results.write_results(again.select("repo_id", "name", (F.col("commits") * 2).alias("commits")), folder, buckets=8)
-    results.drop_result(spark, folder, "repo3", buckets=8)
+    results.write_results(again.select("repo_id", "name", (F.col("commits") * 2).alias("commits")), folder)
+    results.drop_result(spark, folder, "repo3")
     return results.read_results(spark, folder)
 
 
+@query("result_of_one")
+def _(spark, sf):
+    """Write all repositories, fetch one."""
+    folder = staging_folder(spark)
+    results.write_results(history.contributors(corpus(spark, sf, "commits")).select("repo_id", "name", "commits"), folder, buckets=8)
+    return results.read_result(spark, folder, "repo1")
+
+
 QUERIES["diagram_text"] = lambda spark, sf: whole(spark, sf).diagrams.where("type IN ('layer', 'directory')")
 QUERIES["repo_counts"] = lambda spark, sf: report.repo_counts(whole(spark, sf))
 QUERIES["search_entities"] = lambda spark, sf: report.search_entities(whole(spark, sf), "R1")

@@ -6,7 +6,7 @@ The dependency diagram has one line per dependency, so its result is a table of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -147,23 +147,27 @@ def directory_nodes(
 ) -> DataFrame:
     """The first nodes of the path tree in pre-order, siblings by name.
 
-    Pre-order is the order of the arrays of path parts.  Only distinct prefixes down to the last
-    level are kept, and each map task sends at most ``limit`` of them per repository.
+    Pre-order is the order of the arrays of path parts, so the first ``limit`` nodes lie in the first as many
+    distinct paths, cut to the last level (one more, as the next path may show that a file is a folder too).
+    The rank limit works in the map tasks; only these paths are shuffled and cut into their prefixes.
     """
     parts = F.split("path", "/")
-    kept = prune_paths(files, "P1").select("repo_id", parts.alias("parts"))
-    depth = F.least(F.size("parts"), F.lit(levels))
-    prefixes = kept.select("repo_id", F.explode(F.transform(
-        F.sequence(F.lit(1), depth),
-        lambda n: F.struct(F.slice("parts", F.lit(1), n).alias("node"), (n < F.size("parts")).alias("is_dir")))).alias("x"))
+    kept = prune_paths(files, "P1").select(
+        "repo_id", F.slice(parts, 1, levels).alias("cut"), (F.size(parts) > levels).alias("deeper"))
+    in_order = Window.partitionBy("repo_id").orderBy("cut")
+    cut = kept.withColumn("nth", F.dense_rank().over(in_order)).where(F.col("nth") <= limit + 1).drop("nth")
+    prefixes = cut.select("repo_id", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size("cut")),
+        lambda n: F.struct(F.slice("cut", F.lit(1), n).alias("node"), ((n < F.size("cut")) | F.col("deeper")).alias("is_dir")))).alias("x"))
     nodes = prefixes.groupBy("repo_id", F.col("x.node").alias("node")).agg(F.bool_or("x.is_dir").alias("is_dir"))
-    first = top_n(nodes, ["repo_id"], [F.col("node")], limit).select(
-        "repo_id", (F.col("rank") - 1).alias("node_no"), "node", "is_dir")
-    parents = first.where("is_dir").select("repo_id", F.col("node_no").alias("parent_no"), F.col("node").alias("parent"))
+    first = top_n(nodes, ["repo_id"], [F.col("node")], limit).withColumn("node_no", F.col("rank") - 1)
+    # at most ``limit`` rows of a repository meet in this window
+    all_nodes = F.collect_list(F.struct("node", "node_no")).over(Window.partitionBy("repo_id"))
     above = F.slice(F.col("node"), F.lit(1), F.size("node") - 1)
-    return first.withColumn("parent", above).join(parents, ["repo_id", "parent"], "left").select(
-        "repo_id", "node_no", "parent_no", F.element_at("node", -1).alias("name"),
-        (F.size("node") - 1).alias("depth"), "is_dir")
+    found = first.withColumn("above", above).withColumn("nodes", all_nodes)
+    return found.select(
+        "repo_id", "node_no", F.get(F.filter("nodes", lambda x: x["node"] == F.col("above")), F.lit(0))["node_no"].alias("parent_no"),
+        F.element_at("node", -1).alias("name"), (F.size("node") - 1).alias("depth"), "is_dir")
 
 
 def directory_diagram(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from corpuslens.functions.ranking import salted_join, top_n
@@ -48,14 +50,18 @@ def test_results_store(spark, tmp_path):
     rows = spark.createDataFrame([(f"r{i}", i) for i in range(40)], "repo_id string, n int")
     results.write_results(rows, path, buckets=4)
     results.write_results(spark.createDataFrame([("r3", 300), ("new", 1)], "repo_id string, n int"), path, buckets=4)
-    assert rows_of(results.read_result(spark, path, "r3", 4), "n") == [(300,)]
+    assert rows_of(results.read_result(spark, path, "r3"), "n") == [(300,)]
     assert results.read_results(spark, path).count() == 41
-    results.drop_result(spark, path, "r3", 4)
-    assert results.read_result(spark, path, "r3", 4).count() == 0
+    results.drop_result(spark, path, "r3")
+    assert results.read_result(spark, path, "r3").count() == 0
     assert results.read_results(spark, path).count() == 40
+    for part in (tmp_path / "store" / "_buckets").glob("part-*"):
+        part.write_bytes(b"damaged")
+    with pytest.raises(Exception):
+        results.write_results(rows, path)
     only = str(tmp_path / "only")
     results.write_results(spark.createDataFrame([("x", 1)], "repo_id string, n int"), only, buckets=4)
-    results.drop_result(spark, only, "x", 4)
+    results.drop_result(spark, only, "x")
     assert results.read_results(spark, only).count() == 0
 
 
