@@ -205,12 +205,12 @@ def _(spark, sf):
 
 @query("relevant_files")
 def _(spark, sf):
-    return retrieval.relevant_files(*_retrieval(spark, sf))
+    return retrieval.relevant_files(*_retrieval(spark, sf), stage=stored(staging_folder(spark)))
 
 
 @query("relevant_context")
 def _(spark, sf):
-    return retrieval.relevant_context(retrieval.relevant_files(*_retrieval(spark, sf)))
+    return retrieval.relevant_context(retrieval.relevant_files(*_retrieval(spark, sf), stage=stored(staging_folder(spark))))
 
 
 @query("source_attribution")

@@ -8,6 +8,8 @@ joined back to files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,21 @@ def question_keywords(questions: DataFrame) -> DataFrame:
     return questions.select("q_id", "repo_id", F.explode(wanted).alias("kw"))
 
 
-def keyword_hits(keywords: DataFrame, texts: DataFrame) -> DataFrame:
-    """Distinct (repo_id, path, kw) where the keyword is a substring of the file's lower-case text."""
+Stage = Callable[[str, DataFrame], DataFrame]
+
+
+def as_is(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def keyword_hits(keywords: DataFrame, texts: DataFrame, stage: Stage = as_is, name: str = "runs") -> DataFrame:
+    """Distinct (repo_id, path, kw) where the keyword is a substring of the file's lower-case text.
+
+    ``stage`` may write the runs of word characters once, as they are needed twice.
+    """
     vocabulary = keywords.select("repo_id", "kw").distinct()
     lengths = vocabulary.groupBy("repo_id").agg(F.collect_set(F.length("kw")).alias("lengths"))
-    runs = texts.select("repo_id", "path", F.explode(F.array_distinct(words(F.lower("text")))).alias("run"))
+    runs = stage(name, texts.select("repo_id", "path", F.explode(F.array_distinct(words(F.lower("text")))).alias("run")))
     distinct_runs = salted_join(runs.select("repo_id", "run").distinct(), lengths, ["repo_id"], "run")
     # all parts of a run that are as long as some keyword: linear in the length of the run
     parts = F.flatten(F.transform("lengths", lambda n: F.transform(
@@ -41,13 +53,13 @@ def keyword_hits(keywords: DataFrame, texts: DataFrame) -> DataFrame:
     return runs.join(contained, ["repo_id", "run"]).select("repo_id", "path", "kw").distinct()
 
 
-def content_hits(keywords: DataFrame, previews: DataFrame) -> DataFrame:
-    return keyword_hits(keywords, previews.select("repo_id", "path", F.col("preview").alias("text")))
+def content_hits(keywords: DataFrame, previews: DataFrame, stage: Stage = as_is) -> DataFrame:
+    return keyword_hits(keywords, previews.select("repo_id", "path", F.col("preview").alias("text")), stage, "preview_runs")
 
 
-def module_hits(keywords: DataFrame, modules: DataFrame) -> DataFrame:
+def module_hits(keywords: DataFrame, modules: DataFrame, stage: Stage = as_is) -> DataFrame:
     text = F.concat_ws(" ", "name", F.concat_ws(" ", "classes"), F.concat_ws(" ", "functions"))
-    return keyword_hits(keywords, modules.select("repo_id", "path", text.alias("text")))
+    return keyword_hits(keywords, modules.select("repo_id", "path", text.alias("text")), stage, "module_runs")
 
 
 def _scores(keywords: DataFrame, hits: DataFrame, per_hit: int) -> DataFrame:
@@ -68,23 +80,25 @@ def score_modules(keywords: DataFrame, modules: DataFrame, by_content: DataFrame
 
 
 def relevant_files(
-    keywords: DataFrame, previews: DataFrame, modules: DataFrame, k: int = rules.RELEVANT_FILES,
+    keywords: DataFrame, previews: DataFrame, modules: DataFrame, k: int = rules.RELEVANT_FILES, stage: Stage = as_is,
 ) -> DataFrame:
     """The best ``k`` files of a question, ties to content matches and then to the path.
 
     Files of a repository that match the same keywords score the same for every question, so they
     form one class and only the first ``k`` paths of a class can ever be chosen.  Questions are
-    scored against classes; a million copies of a file are one class.
+    scored against classes; a million copies of a file are one class.  With a ``stage``, keywords, runs and
+    classes are written once, as each of them is needed more than once.
     """
+    keywords = stage("keywords", keywords)
     empty = F.array().cast("array<string>")
-    tagged = content_hits(keywords, previews).withColumn("in_content", F.lit(True)).unionByName(
-        module_hits(keywords, modules).withColumn("in_content", F.lit(False)))
+    tagged = content_hits(keywords, previews, stage).withColumn("in_content", F.lit(True)).unionByName(
+        module_hits(keywords, modules, stage).withColumn("in_content", F.lit(False)))
     matched = tagged.groupBy("repo_id", "path").agg(
         F.array_sort(F.collect_set(F.when(F.col("in_content"), F.col("kw")))).alias("in_content"),
         F.array_sort(F.collect_set(F.when(~F.col("in_content"), F.col("kw")))).alias("in_names"))
     alike = ["repo_id", "in_content", "in_names"]
-    classes = top_n(matched, alike, [F.col("path")], k).groupBy(*alike).agg(
-        F.array_sort(F.collect_list("path")).alias("paths"))
+    classes = stage("classes", top_n(matched, alike, [F.col("path")], k).groupBy(*alike).agg(
+        F.array_sort(F.collect_list("path")).alias("paths")))
     # a path belongs to one class, so the first path names the class within its repository
     cells = F.concat(
         F.transform(F.coalesce("in_content", empty), lambda w: F.struct(w.alias("kw"), F.lit(1).alias("c"), F.lit(0).alias("m"))),
