@@ -108,6 +108,11 @@ def nearby(text: Column, span: Column) -> Column:
     return F.concat(place(left, left_at), place(right, span["end"]))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """Tells rows apart by id and text, with 96 bits."""
+    return F.concat_ws(":", F.xxhash64(id_, text), F.hash(text, id_))
+
+
 def entities(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, key, base, near: spans of every row, and the words near each of them with the entity they stand near."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -117,7 +122,7 @@ def entities(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.xxhash64(s["match"]).alias("entity")))))
     # words inside an entity are not near it but part of it
     outside = F.filter(near, lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-    return rows.select("id", F.xxhash64("id", "text").alias("key"), "base", F.when(F.size("base") > 0, outside).alias("near"))
+    return rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "base", F.when(F.size("base") > 0, outside).alias("near"))
 
 
 def disclosing_terms(found: DataFrame, df: DataFrame, support: int = SUPPORT, share: float = SHARE,
@@ -173,7 +178,7 @@ def sanitise(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     # one row a key: repeated rows have the same spans
     marks = spans(df, id_column=id_column, text_column=text_column).dropDuplicates(["key"]).select(
         F.col("key").alias("__key"), F.array_sort(F.concat("base", "terms")).alias("__spans")).where("size(__spans) > 0")
-    marked = df.withColumn("__key", F.xxhash64(F.col(id_column), F.coalesce(text_column, F.lit("")))).join(marks, "__key", "left")
+    marked = df.withColumn("__key", row_key(F.col(id_column), F.coalesce(text_column, F.lit("")))).join(marks, "__key", "left")
     names = F.array(*map(F.lit, KINDS))
     text = F.col(text_column)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuslens.llm import embeddings, fingerprints, ngram_join, packing, privacy, quality, token_counts, toxicity, warc, word_bpe
 from corpuslens.llm.common import tables
+from corpuslens.llm.oracles import ORACLES  # noqa: F401
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,4 +58,3 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_quality, op6_token_counts, op7_private_data, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
-ORACLES: dict[str, str] = {}

@@ -248,14 +248,15 @@ def fit_rows(rows: list[tuple[int, int, str]], rounds: int = 40) -> Model:
     return Model(model.weights, ties, start, tuple(weights.tolist()))
 
 
-_remembered: dict[int, dict[str, float]] = {}
+#: The last model of this process and the weights of words under it.
+_remembered: list[tuple[Model, dict[str, float]]] = []
 
 
 def tag(model: Model, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all words of all texts, and the number of words of each text."""
-    known = _remembered.setdefault(id(model), {})
-    if len(known) > REMEMBERED:
-        known.clear()
+    if not _remembered or _remembered[0][0] is not model or len(_remembered[0][1]) > REMEMBERED:
+        _remembered[:] = [(model, {})]
+    known = _remembered[0][1]
     lengths, values = [], []
     get, weight = known.get, model.weights.get
     for text in batch:

@@ -48,8 +48,8 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     keys = rows.select("page_id", "sha", F.octet_length("html").alias("size"))
     later = keys.join(first, "sha").where((F.col("first") < F.col("page_id")) & (F.col("size") >= least_bytes))
-    later = later.select("page_id", F.col("first").alias("refers_to")).distinct()
-    return rows.drop("sha").join(later, "page_id", "left")
+    later = later.select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    return rows.join(later, ["page_id", "sha"], "left").drop("sha")
 
 
 def record_lines(page_id, url: str, payload: bytes, refers_to, chunk: int) -> Iterator[str]:
