@@ -35,7 +35,7 @@ CONTEXT = 48
 #: Bound on the log odds ratio of the transitions.
 MOST_TIED = 3.0
 #: Words remembered by a worker at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: A feature must stand in so many labelled documents.
 LEAST_DOCUMENTS = 4
 THRESHOLD = 0.5
