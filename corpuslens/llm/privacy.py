@@ -1,19 +1,23 @@
 """Information-theoretic sanitisation, with DataFrame and SQL functions only.
 
-Protected entities are e-mail addresses, IP addresses, card and phone numbers; their spans are found by patterns.
-Words next to an entity may reveal it. Over the corpus, for a term t and an entity e:
+Protected entities are e-mail addresses, IP addresses, card and phone numbers; their spans are found by patterns. An
+entity is the same however it is written: addresses in lower case, IP addresses without leading zeros, numbers by
+their digits. Words of the documents that hold an entity may reveal it. Over the corpus, for a term t and an entity e:
 
     IC(e) = -log2 P(e)            P(e) = documents with e / documents
-    PMI(t, e) = log2 (P(e | t) / P(e))     P(e | t) = documents with t near e / documents with t
+    PMI(t, e) = log2 (P(e | t) / P(e))     P(e | t) = documents with t and e / documents with t
 
-A term discloses an entity where it stands near it in `SUPPORT` documents or more and PMI(t, e) >= `SHARE` * IC(e):
-with t known, at most the share 1 - SHARE of the entity's information is left. Such terms are spans of the kind
-`term` where they stand near that entity. Sanitising replaces entities by the name of their kind and removes
-disclosing terms.
+A term discloses an entity where PMI(t, e) >= `SHARE` * IC(e): with t known, at most the share 1 - SHARE of the
+entity's information is left. For an entity of one document this compares the term's own information with the
+entity's, so no entity is too rare. Words anywhere in a document count, those inside entities too. Disclosing terms
+are spans of the kind `term` wherever they stand in a document that holds the entity, outside the entities
+themselves. Documents without the entity keep the term: they hold nothing that it could disclose. Sanitising replaces
+entities by the name of their kind and disclosing terms by `[term]`; terms are removed, not generalised, as there is
+no taxonomy to take a broader word from.
 
-Spans are in code points, the end exclusive. `NEAR` code points on either side of an entity are looked at, whole
-words of at least `LEAST_LETTERS` letters only. Each pattern is linear in the text: runs are matched possessively and from
-their first character on, which leaves the matches of the plain patterns as they are.
+Spans are in code points, the end exclusive. Terms are whole words of at least `LEAST_LETTERS` letters. Each pattern
+is linear in the text: runs are matched possessively and from their first character on, which leaves the matches of
+the plain patterns as they are.
 
 Nulls count as empty texts and have no spans. Repeated rows (same id and text) count as one document in the
 statistics and come back each. Rows of one id with different texts are apart. A null id is an id of its own. An
@@ -24,12 +28,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuslens.llm.common import stage
 
-SUPPORT = 2
 SHARE = 0.9
-NEAR = 60
 LEAST_LETTERS = 3
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -72,6 +75,13 @@ def luhn(match: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+#: What is the same for all spellings of one entity.
+SAME = {
+    "email": F.lower,
+    "ip": lambda m: F.regexp_replace(m, "(?<![0-9])0+(?=[0-9])", ""),
+    "card": digits,
+    "phone": digits,
+}
 CHECKS = {
     "email": lambda m: F.lit(True),
     "ip": lambda m: m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"),
@@ -81,31 +91,36 @@ CHECKS = {
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (kind number, start, end, match) of all protected entities, by start and kind."""
+    """Array of (start, kind number, end, entity) of all protected entities, by start and kind."""
     def of(number: int, kind: str) -> Column:
         pattern, part = PATTERNS[kind]
         present = F.contains(text, F.lit(part)) if part else text.rlike("[0-9]")
         spans = F.filter(located(text, pattern), lambda s: CHECKS[kind](s["match"]))
         spans = F.transform(spans, lambda s: F.struct(
-            s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
-        return F.when(present, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,match:string>>)"))
+            s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"),
+            F.xxhash64(F.lit(kind), SAME[kind](s["match"])).alias("entity")))
+        return F.when(present, spans).otherwise(F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,entity:bigint>>)"))
 
     found = [of(number, kind) for number, kind in enumerate(KINDS[:4])]
     return F.array_sort(F.concat(*found))
 
 
-def nearby(text: Column, span: Column) -> Column:
-    """Array of (start, end, term): whole words within NEAR code points of a span."""
-    begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    # a cut word at the window's edge does not count; its place is kept by blanks
-    left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}++", "")).otherwise(left)
-    left_at = span["start"] - F.length(left)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR + 1))
-    right = F.when(F.length(right) > NEAR, F.regexp_replace(right, r"(?<!\p{L})\p{L}++$", "")).otherwise(right)
-    place = lambda part, at: F.transform(located(part, WORD), lambda w: F.struct(
-        (at + w["start"]).alias("start"), (at + w["end"]).alias("end"), F.xxhash64(F.lower(w["match"])).alias("term")))
-    return F.concat(place(left, left_at), place(right, span["end"]))
+def term(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def word_pieces(text: Column) -> Column:
+    """Array of (gap, size, term): each word with the length of what stands before it; the last has no word."""
+    return F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, match: F.struct(
+        F.length(gap).alias("gap"), F.length(match).alias("size"), F.when(match.isNotNull(), term(match)).alias("term")))
+
+
+def placed(once: DataFrame) -> DataFrame:
+    """key, start, end, term of every word of `entities`, one row a key; sums run along the words of a row, so work is linear."""
+    rows = once.select("key", F.posexplode("words").alias("pos", "w")).select("key", "pos", "w.*")
+    along = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("size", F.lit(0))).over(along).cast("int"))
+    return rows.where("term IS NOT NULL").select("key", (F.col("end") - F.col("size")).alias("start"), "end", "term")
 
 
 def row_key(id_: Column, text: Column) -> Column:
@@ -114,48 +129,67 @@ def row_key(id_: Column, text: Column) -> Column:
 
 
 def entities(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, key, base, near: spans of every row, and the words near each of them with the entity they stand near."""
+    """id, key, base, words: spans of every row, and the `word_pieces` of the rows that have any."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = df.select(F.col(id_column).alias("id"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.flatten(F.transform("base", lambda s: F.transform(nearby(F.col("text"), s), lambda w: F.struct(
-        w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term"), F.xxhash64(s["match"]).alias("entity")))))
-    # words inside an entity are not near it but part of it
-    outside = F.filter(near, lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-    return rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "base", F.when(F.size("base") > 0, outside).alias("near"))
+    return rows.select("id", row_key(F.col("id"), F.col("text")).alias("key"), "base",
+                       F.when(F.size("base") > 0, word_pieces(F.col("text"))).alias("words"))
+
 
+def entity_classes(once: DataFrame) -> DataFrame:
+    """key, who: the entities of each document; those that stand in the same documents are one class.
 
-def disclosing_terms(found: DataFrame, df: DataFrame, support: int = SUPPORT, share: float = SHARE,
-                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """term, entity: the terms that disclose an entity, by counts over all documents; found: `entities` of df."""
+    who: (documents, two hashes of their keys). The terms that disclose one entity of a class disclose them all.
+    """
+    held = once.select("key", F.explode(F.array_distinct(F.col("base.entity"))).alias("entity"))
+    who = F.struct(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("key")).alias("a"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("b"))
+    classes = stage(held.groupBy("entity").agg(who.alias("who"), F.min("key").alias("key")), "classes")
+    single = classes.where("who.docs = 1").select("key", "who")
+    shared = held.join(classes.where("who.docs > 1").select("entity", "who"), "entity").select("key", "who")
+    return single.unionByName(shared).distinct()
+
+
+def term_documents(df: DataFrame, repeats: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """term, term_docs: documents with each word; repeats: (key, extra) of the rows that stand more than once."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    # distinct words of a text, counted before they are shuffled
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), term))
+    counted = df.select(F.explode(words).alias("term"), F.lit(1).cast("long").alias("n"))
+    if not repeats.isEmpty():
+        again = df.select(row_key(F.col(id_column), text).alias("key"), words.alias("words")).join(repeats, "key").dropDuplicates(["key"])
+        counted = counted.unionByName(again.select(F.explode("words").alias("term"), (-F.col("extra")).alias("n")))
+    return counted.groupBy("term").agg(F.sum("n").alias("term_docs"))
+
+
+def disclosing_terms(found: DataFrame, df: DataFrame, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """key, term: the terms that disclose an entity of the document, by counts over all documents; found: `entities` of df."""
+    repeats = stage(found.groupBy("key").agg((F.count("*") - 1).alias("extra")).where("extra > 0"), "repeats")
+    total = df.count() - (repeats.agg(F.sum("extra")).first()[0] or 0)
     once = found.where("size(base) > 0").dropDuplicates(["key"])
-    pairs = once.select(F.explode(F.array_distinct(F.transform("near", lambda w: F.struct(w["term"].alias("term"), w["entity"].alias("entity"))))).alias("p"))
-    together = pairs.groupBy("p.term", "p.entity").agg(F.count("*").alias("together")).where(F.col("together") >= support)
-    with_entity = once.select(F.explode(F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["match"])))).alias("entity")).groupBy(
-        "entity").agg(F.count("*").alias("entity_docs")).where(F.col("entity_docs") >= support)
-    together = stage(together.join(with_entity, "entity"), "together")
-    total = df.count()
-    # documents with each word: distinct words of a text, counted before they are shuffled
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_column), F.lit(""))), F.lit(WORD), F.lit(0)),
-                                         lambda w: F.xxhash64(w)))
-    with_term = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
-    rated = together.join(with_term, "term")
-    information = -F.log2(F.col("entity_docs") / total)
-    pmi = F.log2(F.col("together") * total / (F.col("term_docs") * F.col("entity_docs")))
-    return rated.where((information > 0) & (pmi >= share * information)).select("term", "entity")
-
-
-def spans(df: DataFrame, support: int = SUPPORT, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    terms = once.select("key", F.array_compact(F.array_distinct(F.col("words.term"))).alias("terms"))
+    pairs = stage(terms.join(entity_classes(once), "key").select("key", "who", F.explode("terms").alias("term")), "pairs")
+    together = pairs.groupBy("term", "who").agg(F.count("*").alias("together"))
+    rated = together.join(term_documents(df, repeats, id_column, text_column), "term")
+    information = -F.log2(F.col("who.docs") / total)
+    pmi = F.log2(F.col("together") * total / (F.col("term_docs") * F.col("who.docs")))
+    telling = rated.where((information > 0) & (pmi >= share * information)).select("term", "who")
+    return pairs.join(telling, ["term", "who"]).select("key", "term").distinct()
+
+
+def spans(df: DataFrame, share: float = SHARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, key, base, terms of every row: arrays of (start, kind, end)."""
     found = stage(entities(df, id_column, text_column), "entities")
-    telling = stage(disclosing_terms(found, df, support, share, id_column, text_column), "telling")
-    near = found.where("size(near) > 0").dropDuplicates(["key"]).select("key", F.explode("near").alias("w")).select("key", "w.*")
-    hits = near.join(telling, ["term", "entity"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
+    telling = stage(disclosing_terms(found, df, share, id_column, text_column), "telling")
+    words = placed(found.where("size(words) > 0").dropDuplicates(["key"]).select("key", "words"))
+    hits = words.join(telling, ["key", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
         "start", F.lit(4).alias("kind"), "end"))).alias("terms"))
     narrow = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
-    return found.select("id", "key", narrow.alias("base")).join(hits, "key", "left").select(
-        "id", "key", "base", F.coalesce("terms", none).alias("terms"))
+    rows = found.select("id", "key", narrow.alias("base")).join(hits, "key", "left")
+    # words inside an entity go with it
+    outside = F.filter("terms", lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
+    return rows.select("id", "key", "base", F.coalesce(outside, none).alias("terms"))
 
 
 def joined(column: Column) -> Column:

@@ -184,6 +184,58 @@ def test_disclosing_terms_are_found_and_removed(spark):
     assert clean[3]["text"] == dict(rows)[3] and clean[951]["text"] is None and clean[952]["text"] == "" and len(clean) == len(rows)
 
 
+def brute_terms(rows, share=0.9):
+    """Spans of the words that disclose an entity, by (id, text): counts over whole documents."""
+    same = {"email": str.lower, "ip": lambda m: ".".join(str(int(x)) for x in m.split("."))}
+    number = lambda m: re.sub("[^0-9]", "", m)
+    found, words = {}, {}
+    for row in set(rows):
+        found[row] = [(m.start(), m.end(), (k, same.get(k, number)(m[0]))) for k, p in PATTERNS.items() for m in re.finditer(p, row[1]) if fits(k, m[0])]
+        words[row] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", row[1])]
+    docs = lambda e=None, t=None: {r for r in found if (e is None or e in {x[2] for x in found[r]}) and (t is None or t in {x[2] for x in words[r]})}
+    out = {}
+    for row in found:
+        telling = set()
+        for e in {x[2] for x in found[row]}:
+            p = len(docs(e)) / len(found)
+            telling |= {t for _, _, t in words[row] if p < 1 and np.log2(len(docs(e, t)) / len(docs(t=t)) / p) >= -share * np.log2(p)}
+        out[row] = {(a, b) for a, b, t in words[row] if t in telling and not any(a < y and x < b for x, y, _ in found[row])}
+    return out
+
+
+def test_disclosing_terms_equal_brute_force(spark):
+    r = random.Random(12)
+    names = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(90)]
+    held = ["ann@x.org", "Ann@X.org", "bob@y.net", "10.0.0.1", "010.0.0.1", "1.23.4.5", "12.3.4.5", "+49 30 1234567", "+49 (30) 123-4567", "4111 1111 1111 1111", "4111-1111-1111-1111"]
+    rows = []
+    for i in range(160):
+        text = [r.choice(names).title() if r.random() < 0.2 else names[int(90 * r.random() ** 3)] for _ in range(r.randint(1, 30))]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            text.insert(r.randrange(len(text) + 1), r.choice(held) if r.random() < 0.7 else f"{r.choice(names)}{i}@z.org")
+        rows.append((i, ", ".join(text)))
+    rows += rows[:40]
+    rows.append((900, " ".join(f"filler{'abcdefghij'[k % 10]} common" for k in range(700)) + " far@z.org " + "common " * 600 + "Quetzal"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want, got = brute_terms(rows), privacy.private_data(df).collect()
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 100
+    texts = dict(rows)
+    for x in got:
+        spans = {tuple(map(int, s.split(":")[1:])) for s in x["spans"].split(",") if s.startswith("term")}
+        assert spans == want[x["doc_id"], texts[x["doc_id"]]] and len(spans) == x["n_term"]
+
+
+def test_a_disclosing_term_goes_wherever_it_stands(spark):
+    """Far from the entity, again, beside other spellings of it, and for an entity of one document."""
+    filler = " the report was sent by mail to all of them" * 5
+    rows = [(i, f"{filler} {i}") for i in range(300)]
+    rows += [(900, f"Zanzibar{filler} ann@x.org{filler} 7 zanzibar"), (901, f"ANN@x.org{filler} Zanzibar"),
+             (902, f"+49 30 1234567{filler} Quetzal{filler} quetzal")]
+    clean = {x["doc_id"]: x["text"] for x in privacy.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert clean[900] == f"[term]{filler} [email]{filler} 7 [term]"
+    assert clean[901] == f"[email]{filler} [term]" and clean[902] == f"[phone]{filler} [term]{filler} [term]"
+    assert all(clean[i] == t for i, t in rows[:300])
+
+
 def test_main_path_of_personal_data_is_native(spark):
     plan = privacy.entities(spark.createDataFrame([(1, "a@b.c")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
