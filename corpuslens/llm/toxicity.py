@@ -12,7 +12,8 @@ The fit uses at most `per_class` labelled rows of each class outside the held-ou
 every text is tagged whole. Long texts are tagged in segments with `CONTEXT` words more on both sides: transition
 weights are bounded so that what lies further away changes a marginal by less than a millionth. Null and empty
 texts have no words and the lowest score. Repeated rows score alike. If a class has no labelled rows the score is
-the other class's label, 0.5 without any. Other columns are not read.
+the other class's label, 0.5 without any; `keep` then passes all rows, as there is no evidence against any. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -307,7 +308,9 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_column:
 
 
 def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is not predicted toxic."""
+    """The rows, with all their columns, whose text is not predicted toxic; all rows if the model has seen no label."""
+    if model.constant == 0.5:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_column)
 

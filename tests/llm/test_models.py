@@ -51,6 +51,12 @@ def test_odd_rows_of_a_classifier(spark, module, run):
     assert run(docs.limit(0), labels).count() == 0
 
 
+def test_no_row_is_dropped_as_toxic_without_labels(spark):
+    docs = spark.createDataFrame([(1, "good words"), (2, None), (3, "")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert sorted(toxicity.keep(docs, toxicity.fit(docs, labels)).collect()) == sorted(docs.collect())
+
+
 def test_spans_point_at_toxic_words():
     r = random.Random(10)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
