@@ -55,4 +55,39 @@ vertices AS (SELECT id FROM w),
 SELECT component.id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM component LEFT JOIN n ON n.id = component.id
 """
 
-ORACLES = {"op4_embedding_dedup": OP4, "op8_warc": OP8, "op9_ngram_jaccard": OP9}
+OP12 = """
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+t AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS s FROM p),
+one AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(s) AS w FROM t) GROUP BY ALL),
+two AS (
+    SELECT lang, g.w AS w, g.x AS x, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(s)), lambda i: {'w': s[i], 'x': s[i + 1]})) AS g FROM t) GROUP BY ALL),
+three AS (
+    SELECT lang, g.w AS w, g.x AS x, g.y AS y, count(*) AS f
+    FROM (SELECT lang, unnest(list_transform(range(1, len(s) - 1), lambda i: {'w': s[i], 'x': s[i + 1], 'y': s[i + 2]})) AS g FROM t)
+    GROUP BY ALL HAVING count(*) >= 10),
+longest AS (
+    SELECT lang, w, x, max(f) AS longer
+    FROM (SELECT lang, w, x, f FROM three UNION ALL SELECT lang, x, y, f FROM three) GROUP BY ALL),
+cuts AS (
+    SELECT two.lang, two.w || ' ' || two.x AS phrase, 1 AS k, two.f AS a, l.f AS l, r.f AS r
+    FROM two JOIN one l USING (lang, w) JOIN one r ON r.lang = two.lang AND r.w = two.x LEFT JOIN longest USING (lang, w, x)
+    WHERE two.f >= 10 AND coalesce(100 * longer < 50 * two.f, true)
+    UNION ALL
+    SELECT three.lang, three.w || ' ' || three.x || ' ' || three.y, 1, three.f, l.f, r.f
+    FROM three JOIN one l USING (lang, w) JOIN two r ON r.lang = three.lang AND r.w = three.x AND r.x = three.y
+    UNION ALL
+    SELECT three.lang, three.w || ' ' || three.x || ' ' || three.y, 2, three.f, l.f, r.f
+    FROM three JOIN two l USING (lang, w, x) JOIN one r ON r.lang = three.lang AND r.w = three.y),
+scored AS (
+    SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest),
+words AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES = {"op4_embedding_dedup": OP4, "op8_warc": OP8, "op9_ngram_jaccard": OP9, "op12_collocations": OP12}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import embeddings, fingerprints, ngram_join, packing, privacy, quality, token_counts, toxicity, warc, word_bpe
+from corpuslens.llm import (
+    collocations, embeddings, fingerprints, ngram_join, packing, privacy, quality, runs, token_counts, toxicity, vector_packing, warc,
+    word_bpe,
+)
 from corpuslens.llm.common import tables
 from corpuslens.llm.oracles import ORACLES  # noqa: F401
 
@@ -55,6 +58,19 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.private_data(tables(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(tables(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(tables(spark, sf_dir, "documents"))
+
+
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_examples(tables(spark, sf_dir, "documents"), WORDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_quality, op6_token_counts, op7_private_data, op8_warc, op9_ngram_jaccard, op10_fingerprints)}
+        op1_best_fit_packing, op2_bpe, op3_toxicity, op4_embedding_dedup, op5_quality, op6_token_counts, op7_private_data, op8_warc, op9_ngram_jaccard, op10_fingerprints,
+        op11_periodic_runs, op12_collocations, op13_vector_packing)}
