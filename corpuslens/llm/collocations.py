@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +34,13 @@ from corpuslens.functions.ranking import salted_join, top_n
 from corpuslens.llm.common import ragged, slices, stage, width
 
 #: Words of a chunk; entries that are merged at a time.
-CHUNK, MERGED = 2_000_000, 1_000_000
+CHUNK, MERGED = 1_500_000, 400_000
 #: Share of the rows that tells which prefixes are split.
 SAMPLED = 0.01
 NO_LANGUAGE = "und"
 BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
-STRIPE = "lang string, w string, slot int, xs array<string>, ys array<string>, ns array<bigint>"
+#: A stripe's entries are lines `x y n`: a third of the bytes of arrays. Words hold neither blanks nor line ends.
+STRIPE = "lang string, w string, slot int, entries string"
 COUNT = "lang string, w string, x string, y string, n bigint"
 
 
@@ -93,12 +95,13 @@ class Chunk:
             ends = np.r_[starts[1:], len(w)]
             for i in range(0, len(starts), 4096):
                 s, e = starts[i : i + 4096], ends[i : i + 4096]
-                offsets = pa.array((np.r_[s, e[-1]] - s[0]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, v) for v in (
-                    strings.take(pa.array(x[s[0] : e[-1]])), strings.take(pa.array(y[s[0] : e[-1]])), pa.array(n[s[0] : e[-1]].astype(np.int64)))]
+                part = slice(s[0], e[-1])
+                lines = pc.binary_join_element_wise(
+                    strings.take(pa.array(x[part])), strings.take(pa.array(y[part])), pc.cast(pa.array(n[part]), pa.string()), " ")
+                lists = pa.ListArray.from_arrays(pa.array((np.r_[s, e[-1]] - s[0]).astype(np.int32)), lines)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(s), pa.string()), strings.take(pa.array(w[s])), pa.array(slots[s].astype(np.int32)), *lists],
-                    names=["lang", "w", "slot", "xs", "ys", "ns"])
+                    [pa.array([lang] * len(s), pa.string()), strings.take(pa.array(w[s])), pa.array(slots[s].astype(np.int32)),
+                     pc.binary_join(lists, "\n")], names=["lang", "w", "slot", "entries"])
 
 
 def frequent_prefixes(texts: DataFrame, sampled: float = SAMPLED) -> dict[str, dict[bytes, int]]:
@@ -132,7 +135,7 @@ def frequent_prefixes(texts: DataFrame, sampled: float = SAMPLED) -> dict[str, d
 
 
 def stripes(texts: DataFrame, splits: dict[str, dict[bytes, int]], chunk_words: int = CHUNK) -> DataFrame:
-    """lang, w, slot, xs, ys, ns: the stripes of each chunk of rows (lang, text)."""
+    """lang, w, slot, entries: the stripes of each chunk of rows (lang, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = Chunk()
         for batch in batches:
@@ -156,11 +159,12 @@ def merged_counts(striped: DataFrame, splits: dict[str, dict[bytes, int]], least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat(batch: pa.RecordBatch) -> pa.Table:
-            lists = batch.column("xs")
-            sizes = np.diff(lists.offsets.to_numpy())
-            source = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            return pa.table([batch.column(c).take(source) for c in keys] + [batch.column(c).flatten() for c in ("xs", "ys", "ns")],
-                            names=[*keys, "x", "y", "n"])
+            lists = pc.split_pattern(batch.column("entries"), "\n")
+            lines = lists.flatten()
+            source = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())))
+            fields = pc.split_pattern(lines, " ").flatten()
+            x, y, n = (fields.take(pa.array(np.arange(k, 3 * len(lines), 3))) for k in range(3))
+            return pa.table([batch.column(c).take(source) for c in keys] + [x, y, pc.cast(n, pa.int64())], names=[*keys, "x", "y", "n"])
 
         def merged(held: list[pa.Table]) -> pa.Table:
             return pa.concat_tables(held).group_by([*keys, "x", "y"]).aggregate([("n", "sum")]).rename_columns([*keys, "x", "y", "n"])
@@ -179,12 +183,12 @@ def merged_counts(striped: DataFrame, splits: dict[str, dict[bytes, int]], least
                     table.column("lang").to_pylist(), table.column("w").to_pylist())], bool) if splits else np.ones(table.num_rows, bool)
 
             # entries of a split stripe are whole as well: a triple is in one part only
-            three = table.filter(pa.compute.and_(pa.compute.not_equal(table.column("y"), ""), pa.compute.greater_equal(table.column("n"), least)))
+            three = table.filter(pc.and_(pc.not_equal(table.column("y"), ""), pc.greater_equal(table.column("n"), least)))
             yield from rows(three.column("lang"), three.column("w"), three.column("x"), three.column("y"), three.column("n"))
             two = table.group_by(["lang", "w", "x"]).aggregate([("n", "sum")])
             one = two.group_by(["lang", "w"]).aggregate([("n_sum", "sum")])
             all_ = one.group_by(["lang"]).aggregate([("n_sum_sum", "sum")])
-            two = two.filter(pa.compute.not_equal(two.column("x"), ""))
+            two = two.filter(pc.not_equal(two.column("x"), ""))
             yield from rows(two.column("lang"), two.column("w"), two.column("x"), None, two.column("n_sum"), whole(two))
             yield from rows(one.column("lang"), one.column("w"), None, None, one.column("n_sum_sum"), whole(one))
             yield from rows(all_.column("lang"), None, None, None, all_.column("n_sum_sum_sum"))
@@ -202,9 +206,9 @@ def merged_counts(striped: DataFrame, splits: dict[str, dict[bytes, int]], least
             # the last key's stripe may go on in the next batch
             last = [table.column(c) for c in keys]
             final = [batch.column(c)[-1] for c in keys]
-            goes_on = pa.compute.and_(pa.compute.and_(pa.compute.equal(last[0], final[0]), pa.compute.equal(last[1], final[1])),
-                                      pa.compute.equal(last[2], final[2]))
-            yield from outcome(table.filter(pa.compute.invert(goes_on)))
+            goes_on = pc.and_(pc.and_(pc.equal(last[0], final[0]), pc.equal(last[1], final[1])),
+                                      pc.equal(last[2], final[2]))
+            yield from outcome(table.filter(pc.invert(goes_on)))
             held = [table.filter(goes_on)]
             size = held[0].num_rows
             bound = max(MERGED, 2 * size)
