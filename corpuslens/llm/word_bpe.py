@@ -122,15 +122,21 @@ class WordBpe:
         symbols[ends - 1] = self.last[data[ends - 1]]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbols, done_words = [], []
-        while len(symbols):
-            pair = np.flatnonzero(word[:-1] == word[1:])
-            keys = symbols[pair] * self.base + symbols[pair + 1]
+
+        def pair_at(i: np.ndarray) -> np.ndarray:
+            """Places in the table of the pairs that start at i; -1: none."""
+            keys = symbols[i] * self.base + symbols[i + 1]
             at = np.searchsorted(self.keys, keys)
             at[at == len(self.keys)] = 0
-            found = self.keys[at] == keys
-            pair, at = pair[found], at[found]
+            return np.where((word[i] == word[i + 1]) & (self.keys[at] == keys), at, -1)
+
+        known = np.full(len(symbols), -1)
+        known[:-1] = pair_at(np.arange(len(symbols) - 1))
+        while len(symbols):
+            pair = np.flatnonzero(known >= 0)
             if not len(pair):
                 break
+            at = known[pair]
             rank, owner = self.rank[at], word[pair]
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lowest = np.minimum.reduceat(rank, first)
@@ -153,7 +159,13 @@ class WordBpe:
             done_symbols.append(symbols[done])
             done_words.append(word[done])
             keep &= living
-            symbols, word = symbols[keep], word[keep]
+            merged = (np.cumsum(keep) - 1)[pair]
+            symbols, word, known = symbols[keep], word[keep], known[keep]
+            # only the pairs around a merged symbol are new
+            known[merged] = -1
+            stale = np.concatenate([merged - 1, merged])
+            stale = stale[(stale >= 0) & (stale < len(symbols) - 1)]
+            known[stale] = pair_at(stale)
         done_symbols.append(symbols)
         done_words.append(word)
         symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
@@ -198,6 +210,10 @@ class WordBpe:
         plan: list[int] = []  # a word's number, or -1 - id of a special token
         sizes = []
         for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():
+                plan.append(words[chunk.lower()])
+                sizes.append(1)
+                continue
             pieces = self._pieces(chunk)
             sizes.append(len(pieces))
             plan += [words[p] if p.__class__ is str else -1 - p for p in pieces]
