@@ -73,17 +73,20 @@ def labelled_sample(
 ) -> list[tuple[int, int, str]]:
     """(id, label, text) of at most `per_class` labelled rows of each class, for fitting a model on the driver.
 
-    Rows whose id falls into the held-out fold, labels other than 0 and 1, and texts beyond `max_chars` take no
-    part; rows are taken by a hash of their id, equal texts once. At most 2 * per_class ids are broadcast.
+    Rows whose id falls into the held-out fold, labels other than 0 and 1, ids labelled both, and texts beyond `max_chars`
+    take no part; rows are taken by a hash of their id, equal texts once. At most 2 * per_class ids are broadcast, and as
+    many texts collected: of an id that stands more than once, the least text.
     """
     fold = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("y")).where(
-        F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
+        F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(
+        F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     chosen = None
     for y in (0, 1):
         part = fold.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(
-        F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "id").collect()
+        F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(
+        F.min("text").alias("text")).collect()
     out, seen = [], set()
     for r in sorted(rows, key=lambda r: (r["id"], r["text"])):
         if r["text"] not in seen:

@@ -10,7 +10,7 @@ precision.
 
 Equal vectors of one label are one class before the index is built, so a vector that a third of all rows share
 is one entry with a weight. Vectors are compared within a label only; each label's cells are apart. A cell with
-very many vectors is spread: its queries are dealt over tasks by hash and meet the cell's vectors in blocks.
+very many vectors is spread: its vectors are dealt into blocks by hash, and each of its queries meets every block.
 
 Only vectors without nulls or non-finite components and with a length over zero, under a label, can link; the
 others come back with no link, as their own component. Vectors of different dimensions never link. Repeated rows
@@ -129,9 +129,12 @@ def links(classes: DataFrame, least_cosine: float = LEAST_COSINE, centroids: int
     for d in dims:
         part = classes.where(F.size("v") == d)
         total = part.count()
-        chosen = part.where(F.pmod(F.xxhash64("id"), F.lit(max(1, total // SAMPLE))) == 0).select("v").limit(SAMPLE).toArrow()
+        # the lowest hashes: at most SAMPLE vectors, the same ones whenever this runs
+        hashed = part.select("id", "v", F.xxhash64("id", F.lit(7)).alias("h"))
+        few = hashed.where(F.pmod("h", F.lit(max(1, total // (2 * SAMPLE)))) == 0)
+        chosen = few.orderBy("h", "id").select("v").limit(SAMPLE).toArrow()
         if not chosen.num_rows:
-            chosen = part.select("v").limit(SAMPLE).toArrow()
+            chosen = hashed.orderBy("h", "id").select("v").limit(SAMPLE).toArrow()
         index = MultiIndex(unit(chosen.column(0).combine_chunks()), centroids, least_cosine, target) if d > 1 else None
         found = _links(part, index, least_cosine, width(spark))
         out = found if out is None else out.unionByName(found)

@@ -48,19 +48,45 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = rf"\p{{L}}{{{LEAST_LETTERS},}}+"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def in_blocks(items: Column, at: Column, reach, step, out_type: str) -> Column:
+    """What `step` puts out along an array, with a running position, in two levels of blocks.
+
+    reach(position, item) is the position after an item; step(position, item) is an array of what it gives. An array grows
+    by copying, so one pass over n items would copy n * n / 2; the square root of n blocks copy n times its square root.
+    """
+    def whole(items: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))),
+                             lambda k: F.slice(items, k * size + 1, size))
+        return bound(blocks, placed_blocks)
+
+    def placed_blocks(blocks: Column) -> Column:
+        after = lambda acc, block: F.aggregate(block, acc, reach)
+        starts = F.aggregate(blocks, F.array(at), lambda acc, block: F.concat(acc, F.array(after(F.element_at(acc, -1), block))))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), inside))
+
+    def inside(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.expr(f"CAST(array() AS {out_type})").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct(
+            reach(acc["at"], x).alias("at"), F.concat(acc["out"], step(acc["at"], x)).alias("out")), lambda acc: acc["out"])
+
+    return bound(items, whole)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Array of (start, end, match) of all matches: the pieces between matches give the places."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
                         lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("match")))
-    empty = F.expr("CAST(array() AS array<struct<start:int,end:int,match:string>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        here = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["match"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], here)).alias("out"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    kind = "array<struct<start:int,end:int,match:string>>"
+    end = lambda at, x: at + x["gap"] + F.coalesce(x["size"], F.lit(0))
+    here = lambda at, x: F.array(F.struct((at + x["gap"]).alias("start"), end(at, x).alias("end"), x["match"].alias("match")))
+    return in_blocks(pieces, F.lit(0), end, lambda at, x: F.when(
+        x["match"].isNull(), F.expr(f"CAST(array() AS {kind})")).otherwise(here(at, x)), kind)
 
 
 def digits(match: Column) -> Column:
@@ -182,14 +208,21 @@ def spans(df: DataFrame, share: float = SHARE, id_column: str = "doc_id", text_c
     found = stage(entities(df, id_column, text_column), "entities")
     telling = stage(disclosing_terms(found, df, share, id_column, text_column), "telling")
     words = placed(found.where("size(words) > 0").dropDuplicates(["key"]).select("key", "words"))
-    hits = words.join(telling, ["key", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct(
-        "start", F.lit(4).alias("kind"), "end"))).alias("terms"))
     narrow = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    hits = words.join(telling, ["key", "term"]).select("key", "start", "end", F.lit(4).alias("kind")).distinct()
+    # words inside an entity go with it: of the entities from the left, and from the right, the nearest end and start
+    marked = hits.unionByName(found.where("size(words) > 0").dropDuplicates(["key"]).select("key", F.explode(narrow).alias("s")).select(
+        "key", "s.start", "s.end", "s.kind"))
+    base, places = F.col("kind") < 4, ("start", "kind", "end")
+    # two running frames: one that reaches to the end would be worked out anew for each row
+    so_far = lambda order: Window.partitionBy("key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("left", F.max(F.when(base, F.col("end"))).over(so_far(map(F.asc, places))))
+    marked = marked.withColumn("right", F.min(F.when(base, F.col("start"))).over(so_far(map(F.desc, places))))
+    outside = marked.where("kind = 4 AND coalesce(left <= start, true) AND coalesce(right >= end, true)")
+    hits = outside.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("terms"))
     none = F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)")
     rows = found.select("id", "key", narrow.alias("base")).join(hits, "key", "left")
-    # words inside an entity go with it
-    outside = F.filter("terms", lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])))
-    return rows.select("id", "key", "base", F.coalesce(outside, none).alias("terms"))
+    return rows.select("id", "key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def joined(column: Column) -> Column:
@@ -209,22 +242,44 @@ def private_data(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 def sanitise(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with entities replaced by `[kind]` and disclosing terms by `[term]`; all other columns as they are."""
-    # one row a key: repeated rows have the same spans
+    # columns of the input with the same names stay apart in a struct; one row a key: repeated rows have the same spans
     marks = spans(df, id_column=id_column, text_column=text_column).dropDuplicates(["key"]).select(
-        F.col("key").alias("__key"), F.array_sort(F.concat("base", "terms")).alias("__spans")).where("size(__spans) > 0")
-    marked = df.withColumn("__key", row_key(F.col(id_column), F.coalesce(text_column, F.lit("")))).join(marks, "__key", "left")
+        "key", F.array_sort(F.concat("base", "terms")).alias("spans")).where("size(spans) > 0")
+    rows = df.select(F.struct(*df.columns).alias("row"), row_key(F.col(id_column), F.coalesce(text_column, F.lit(""))).alias("key"))
+    text = F.col("row").getField(text_column)
+    return rows.join(marks, "key", "left").select(*[
+        F.when(F.col("spans").isNull(), text).otherwise(replaced(text, F.col("spans"))).alias(c) if c == text_column
+        else F.col("row").getField(c).alias(c) for c in df.columns])
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each of its spans, sorted by start, replaced by the name of its kind.
+
+    A span that begins within an earlier one only lengthens it. Places in a text are found from its start, so blocks of
+    spans work on their part of the text.
+    """
     names = F.array(*map(F.lit, KINDS))
-    text = F.col(text_column)
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+    def whole(spans: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(spans))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / size).cast("int") - 1), lambda k: F.slice(spans, k * size + 1, size))
+        return bound(blocks, lambda blocks: bound(F.aggregate(blocks, F.array(F.lit(0)), lambda acc, block: F.concat(acc, F.array(
+            F.aggregate(block, F.element_at(acc, -1), lambda at, s: F.greatest(at, s["end"]))))), lambda starts: assembled(blocks, starts)))
+
+    def assembled(blocks: Column, starts: Column) -> Column:
+        ends = F.slice(starts, F.lit(2), F.size(blocks))
+        parts = F.zip_with(F.arrays_zip(blocks.alias("b"), F.slice(starts, F.lit(1), F.size(blocks)).alias("s")), ends, lambda x, end: block_text(
+            x["b"], x["s"], F.substring(text, x["s"] + 1, end - x["s"])))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(starts, -1) + 1, F.length(text)))
+
+    def block_text(block: Column, start: Column, part: Column) -> Column:
+        return bound(part, lambda part_: F.aggregate(block, F.struct(start.alias("at"), F.expr("CAST(array() AS array<string>)").alias("out")),
+                                                     lambda acc, s: step_on(part_, start, acc, s), lambda acc: F.array_join(acc["out"], "")))
+
+    def step_on(part: Column, start: Column, acc: Column, s: Column) -> Column:
+        kept = F.substring(part, acc["at"] - start + 1, s["start"] - acc["at"])
         new = F.array(kept, F.concat(F.lit("["), F.element_at(names, s["kind"] + 1), F.lit("]")))
-        # a span that begins within the last one only lengthens it
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
                         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], new)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<string>)").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return marked.select(*[F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_column else F.col(c)
-                           for c in df.columns])
+    return bound(spans, whole)

@@ -4,7 +4,8 @@ One zstandard dictionary is trained on labelled good texts, one on bad ones. A t
 with each; the normalised difference of the two sizes, and how far the text can be compressed at all, become a
 probability by logistic regression on labelled texts that neither dictionary has seen.
 
-The fit uses at most `per_class` labelled rows of each class outside the held-out fold (see `labelled_sample`);
+The fit uses at most `per_class` labelled rows of each class outside the held-out fold, of at most `max_chars` characters
+(see `labelled_sample`), and draws at most `pieces` pieces from the whole of those texts for each dictionary;
 every text is scored whole. Null and empty texts score as a text of no bytes does. Repeated rows score alike. If
 one class has no labelled rows the score is the other class's label, 0.5 without any. Other columns are not read.
 """
@@ -28,6 +29,8 @@ MAX_CHARS = 32_768
 DICTIONARY = 112_000
 #: Bytes of a training piece and of a scored block.
 PIECE = 600
+#: Pieces of one class's sampled texts that its dictionary is trained on, at most; drawn at random from all of them.
+PIECES = 11_200
 BLOCK = 1024
 LEVEL = 3
 #: Bytes that any frame costs.
@@ -45,10 +48,10 @@ class Model:
     constant: float | None = None
 
 
-def dictionary(rows: list[bytes], size: int, rng: np.random.Generator) -> bytes:
-    """A trained dictionary; the texts' own content where they are too few to train on."""
-    pieces = [t[k : k + PIECE] for t in rows for k in range(0, min(len(t), 20 * PIECE), PIECE)]
-    pieces = [pieces[i] for i in rng.permutation(len(pieces))[: 60 * size // PIECE]]
+def dictionary(rows: list[bytes], size: int, rng: np.random.Generator, most: int = PIECES) -> bytes:
+    """A dictionary trained on `most` random pieces of whole texts; their own content where they are too few to train on."""
+    pieces = [t[k : k + PIECE] for t in rows for k in range(0, len(t), PIECE)]
+    pieces = [pieces[i] for i in rng.permutation(len(pieces))[:most]]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -79,7 +82,7 @@ def features(model: Model, text: str) -> tuple[float, float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS,
-        id_column: str = "doc_id", text_column: str = "text") -> Model:
+        id_column: str = "doc_id", text_column: str = "text", pieces: int = PIECES) -> Model:
     rows = labelled_sample(docs, labels, label, per_class, max_chars, id_column, text_column)
     found = {y for _, y, _ in rows}
     if len(found) < 2:
@@ -91,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
         own = [own[i] for i in rng.permutation(len(own))]
         cut = max(1, len(own) // 2)
         parts[y] = own[:cut], own[cut:] or own
-    model = Model(dictionary(parts[1][0], DICTIONARY, rng), dictionary(parts[0][0], DICTIONARY, rng), (), (), ())
+    model = Model(dictionary(parts[1][0], DICTIONARY, rng, pieces), dictionary(parts[0][0], DICTIONARY, rng, pieces), (), (), ())
     fresh = [(y, t) for y in (0, 1) for t in parts[y][1]]
     x = np.array([features(model, t.decode("utf-8")) for _, t in fresh])
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -122,7 +125,9 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_column:
 
 
 def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is predicted good."""
+    """The rows, with all their columns, whose text is predicted good; all rows unless the model has seen both labels."""
+    if model.constant is not None:
+        return df
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_column)
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import slices, texts
 
-#: Units remembered by a worker at most; beyond that it starts anew.
+#: Units remembered by a worker at most, beyond that it starts anew; and the longest that it remembers.
 REMEMBERED = 700_000
+LONGEST_REMEMBERED = 64
 SPACE = "▁"
 UNIT = re.compile(" *[^ \n]+|\n| +")
 #: Between a letter and a full stop or comma.
@@ -83,9 +84,12 @@ class PieceCounter:
         for part in INNER_CUT.split(unit) if "." in unit or "," in unit else (unit,):
             n = known.get(part)
             if n is None:
-                n = known[part] = self.merge_count(part)
+                n = self.merge_count(part)
+                if len(part) <= LONGEST_REMEMBERED:
+                    known[part] = n
             total += n
-        known[unit] = total
+        if len(unit) <= LONGEST_REMEMBERED:
+            known[unit] = total
         return total
 
     def count(self, text: str) -> int:

@@ -35,8 +35,9 @@ SEGMENT = 192
 CONTEXT = 48
 #: Bound on the log odds ratio of the transitions.
 MOST_TIED = 3.0
-#: Words remembered by a worker at most.
+#: Words remembered by a worker at most, and the longest that it remembers.
 REMEMBERED = 200_000
+LONGEST_REMEMBERED = 64
 #: A feature must stand in so many labelled documents.
 LEAST_DOCUMENTS = 4
 THRESHOLD = 0.5
@@ -47,6 +48,11 @@ RIDGE = 0.2
 WORD = re.compile(r"\w+")
 
 
+def lower_words(text: str) -> list[str]:
+    """The words, matched before they are lower-cased: a lower-cased text may be longer than the text."""
+    return [w.lower() for w in WORD.findall(text)] if not text.isascii() else WORD.findall(text.lower())
+
+
 def features(word: str) -> list[str]:
     """The word itself, and longer words by their first 4 to 8 and last 4 to 6 letters."""
     n = len(word)
@@ -143,7 +149,7 @@ class Fit:
         numbers: dict[str, int] = {}
         tokens, self.lengths = [], []
         for _, _, text in rows:
-            found = WORD.findall(text.lower())
+            found = lower_words(text)
             tokens += [numbers.setdefault(w, len(numbers)) for w in found]
             self.lengths.append(len(found))
         self.lengths, self.tokens = np.array(self.lengths, np.int64), np.array(tokens, np.int64)
@@ -261,12 +267,14 @@ def tag(model: Model, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths, values = [], []
     get, weight = known.get, model.weights.get
     for text in batch:
-        words = WORD.findall(text.lower())
+        words = lower_words(text)
         lengths.append(len(words))
         for w in words:
             v = get(w)
             if v is None:
-                v = known[w] = sum(weight(f, 0.0) for f in features(w))
+                v = sum(weight(f, 0.0) for f in features(w))
+                if len(w) <= LONGEST_REMEMBERED:
+                    known[w] = v
             values.append(v)
     lengths = np.array(lengths, np.int64)
     return forward_backward(np.array(values), lengths, model.ties, model.start), lengths
@@ -284,7 +292,7 @@ def score_texts(model: Model, batch: list[str]) -> tuple[np.ndarray, list[list[d
     for i, text in enumerate(batch):
         own = marginals[begins[i] : begins[i] + lengths[i]]
         at = np.flatnonzero(own >= 0.5)
-        places = [m.span() for m in WORD.finditer(text.lower())] if len(at) else []
+        places = [m.span() for m in WORD.finditer(text)] if len(at) else []
         spans.append([{"start": places[k][0], "end": places[k][1], "p": float(own[k])} for k in at.tolist()])
     return scores, spans
 
@@ -308,8 +316,8 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_column:
 
 
 def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is not predicted toxic; all rows if the model has seen no label."""
-    if model.constant == 0.5:
+    """The rows, with all their columns, whose text is not predicted toxic; all rows unless the model has seen both labels."""
+    if model.constant is not None:
         return df
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_column)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import slices, stage, texts
+from corpuslens.llm.common import slices, stage, texts, width
 from corpuslens.llm.word_bpe import codec
 
 END_TOKEN = 2
@@ -236,7 +236,8 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), group_tokens: int = GROUP
                          pa.array(bears), pa.array((int(key[0].as_py()) << 32) + found[:, 3]), pa.array(found[:, 4])], names=names)
 
     dealt = pieces.where(~whole).withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInArrow(together, schema)
+    # a few groups a task, however many there are
+    packed = dealt.repartition(max(width(pieces.sparkSession), -(-groups // 4)), "group").groupBy("group").applyInArrow(together, schema)
     full = pieces.where(whole).select(id_column, "row", "start", "length", "loss", "doc_tokens", "ids").mapInArrow(alone, schema)
     return full.unionByName(packed)
 

@@ -3,7 +3,7 @@
 A text is cut at white space into chunks; chunks that were not seen before are normalised, cut into words,
 and all their words are merged together: the symbols of all words stand in one flat array, each round finds
 the rank of every adjacent pair by binary search over the sorted pair keys, and merges in every word the pair
-of the lowest rank. The results of chunks are remembered up to a fixed number of them.
+of the lowest rank. The results of chunks are remembered up to a fixed number of them and of their characters.
 
 Nulls count as empty texts; empty texts have no ids and decode to an empty text. Very long texts and words
 need memory in proportion to themselves only. Repeated rows are encoded row by row.
@@ -27,6 +27,8 @@ from corpuslens.llm.common import ragged, slices, texts
 
 #: Chunks remembered by a worker at most; beyond that it starts anew.
 REMEMBERED = 500_000
+#: Characters of the chunks remembered at most; a slice of texts may go beyond it once.
+REMEMBERED_CHARS = 16_000_000
 NO_RANK = np.iinfo(np.int64).max
 #: str.split() cuts at these too, the tokenizer's white space class does not hold them.
 NOT_SPACE = regex.compile("[\x1c-\x1f]")
@@ -111,6 +113,7 @@ class WordBpe:
     def _forget(self) -> None:
         self.known, self.words_known = Numbers(), Numbers()
         self.chunk_ids, self.word_ids = Lists(self.small), Lists(self.small)
+        self.chars = 0
 
     # --- merging ------------------------------------------------------------------------------------
     def merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,6 +209,7 @@ class WordBpe:
         return self.words.findall(chunk)
 
     def _learn(self, chunks: list[str]) -> None:
+        self.chars += sum(map(len, chunks))
         words, before = self.words_known, len(self.words_known)
         plan: list[int] = []  # a word's number, or -1 - id of a special token
         sizes = []
@@ -231,7 +235,7 @@ class WordBpe:
 
     def encode(self, batch: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.remembered or self.chars > REMEMBERED_CHARS:
             self._forget()
         known, before = self.known, len(self.known)
         split = [t.split() if not NOT_SPACE.search(t) else [c for c in SPACE.split(t) if c] for t in batch]

@@ -4,11 +4,16 @@ import hashlib
 import os
 import random
 import re
+import time
+import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+import zstandard
 
-from corpuslens.llm import embeddings, privacy, quality, toxicity
+from corpuslens.llm import embeddings, ngram_join, privacy, quality, token_counts, toxicity, word_bpe
+from corpuslens.llm.common import labelled_sample
 
 SF = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -268,3 +273,93 @@ def test_pipeline_stages(spark):
     empty = docs.limit(0)
     for _, apply in corpus_pipeline.STAGES:
         assert apply(spark, empty, sf).count() == 0
+
+
+# --- texts with very many matches, odd columns ---------------------------------------------------------------
+def test_many_matches_take_time_in_proportion(spark):
+    def seconds(m):
+        df = spark.createDataFrame([(1, "10.0.0.1 x " * m)], "doc_id bigint, text string")
+        start = time.perf_counter()
+        assert privacy.sanitise(df).first()["text"] == "[ip] x " * m
+        return time.perf_counter() - start
+
+    seconds(10)
+    few, many = seconds(10_000), seconds(40_000)
+    assert many < 6 * few + 5
+
+
+def test_private_data_where_columns_clash(spark):
+    rows = [(1, "write to a@b.co now", "k1", 5, "s"), (2, None, "k2", 6, None), (2, "a@b.co", "k3", 7, "t"), (1, "write to a@b.co now", "k4", 8, "u")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string, __key int, spans string")
+    got = sorted(map(tuple, privacy.sanitise(df).collect()), key=lambda r: r[2])
+    assert [r[2:] for r in got] == [r[2:] for r in sorted(rows, key=lambda r: r[2])]
+    assert got[1][1] is None and got[2][1] == "[email]" and "a@b.co" not in got[0][1] + got[3][1]
+
+
+def test_first_of_a_group_where_columns_clash(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, 1, 2), (2, words, 3, 4), (3, "other words", 5, 6), (3, "other words", 7, 8), (None, words, 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __gone int, root int")
+    got = ngram_join.keep_first(df)
+    assert got.columns == df.columns and sorted([r[0] for r in got.collect()], key=str) == [1, 3, None]
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_class_drop_nothing(spark, module, label):
+    rows = [(1, "good words", "p"), (2, None, "q"), (3, "", "r"), (3, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    labels = spark.createDataFrame([(i, label, label) for i in range(20)], "doc_id bigint, toxic int, quality int")
+    got = module.keep(docs, module.fit(docs, labels))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_an_id_with_two_labels_is_no_example(spark):
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in (1, 2, 3, 4) for k in range(3)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, 0), (4, 0)], "doc_id bigint, toxic int")
+    kept = {i for i in (2, 3, 4) if zlib.crc32(str(i).encode()) % 5}
+    got = labelled_sample(docs, labels, "toxic", 10, 100)
+    assert {r[0] for r in got} == kept and len(got) == len(kept)
+
+
+def test_spans_are_places_of_the_text_itself():
+    r = random.Random(10)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = [(i, int(i % 3 == 0), " ".join([*(r.choice(words) for _ in range(29)), "Zorkish" if i % 3 == 0 else "abc"])) for i in range(240)]
+    scores, spans = toxicity.score_texts(toxicity.fit_rows(rows), ["İİİ zorkish def", "İİİ ZORKISH def"])
+    assert [[(s["start"], s["end"]) for s in x] for x in spans] == [[(4, 11)], [(4, 11)]]
+
+
+def test_long_words_are_not_remembered():
+    counter = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    counter.count("x" * 100_000 + " y")
+    assert max(map(len, counter.units)) <= token_counts.LONGEST_REMEMBERED
+    bpe = word_bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(3):
+        list(bpe.encode([f"{i}" + "x" * word_bpe.REMEMBERED_CHARS]))
+        assert bpe.chars <= word_bpe.REMEMBERED_CHARS + 1
+
+
+def test_quality_reads_whole_sampled_texts():
+    head = [b"common start of every text " * 600 for _ in range(40)]
+    tails = [b"unusual ending %d that only stands behind the first part " % (i % 3) * 200 for i in range(40)]
+    made = quality.dictionary([h + t for h, t in zip(head, tails)], 20_000, np.random.default_rng(1))
+    assert b"unusual ending" in made
+
+
+def test_quality_scores_follow_the_definition():
+    good = [f"the {a} {b} went over the {c}" * 20 for a in ("cat", "dog") for b in ("old", "red") for c in ("hill", "road")] * 4
+    bad = [f"{a}{b}{a} buy buy {c} now" * 20 for a in ("xx", "yy") for b in ("qq", "zz") for c in ("pills", "gold")] * 4
+    train = lambda rows: quality.dictionary([t.encode() for t in rows], 4000, np.random.default_rng(1))
+    model = quality.Model(train(good), train(bad), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (0.1, 2.0, -0.5, 0.25))
+    for text in ("", "é", good[0], bad[0], good[1] * 9 + bad[2] * 3):
+        data = text.encode()
+        sizes = []
+        for dictionary in (model.good, model.bad):
+            own = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
+            sizes.append(sum(len(own.compress(data[i : i + 1024])) - 12 for i in range(0, len(data), 1024)))
+        g, b = sizes
+        rate = np.log((max(min(g, b), 0) + 1) / (len(data) + 1))
+        x = 0.1 + 2 * (b - g) / (max(b + g, 0) + 1) - 0.5 * rate + 0.25 * rate * rate
+        assert abs(quality.score_text(model, text) - 1 / (1 + np.exp(-x))) < 1e-9
+    assert quality.features(model, good[0])[0] > 0 > quality.features(model, bad[0])[0]
