@@ -187,3 +187,62 @@ def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 140)}}
+
+
+def linked(x, y):
+    inter = len(np.intersect1d(x, y))
+    return inter > 0 and 4 * inter >= 3 * (len(x) + len(y) - inter)
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_blocks_find_the_links_between_components(halves):
+    r = random.Random(12)
+    for _ in range(20):
+        common = [r.randrange(1 << 62) for _ in range(60)]
+        sets = []
+        for _ in range(60):
+            kept = [x for x in common if r.random() < r.choice([0.5, 0.9, 0.97])]
+            sets.append(np.unique(np.array(kept + [r.randrange(1 << 62) for _ in range(r.choice([0, 3, 30]))], np.uint64)))
+        rows = [(i, i if r.random() < 0.7 else i % 5, s) for i, s in enumerate(sets)]
+        left, right = (rows[:30], rows[30:]) if halves else (rows, None)
+        found = ngram_join.block_links(left, right, {})
+        assert all(linked(sets[a], sets[b]) for a, b in found)
+
+        def groups(links):
+            root = {c: c for _, c, _ in rows}
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+            for a, b in links:
+                x, y = find(rows[a][1]), find(rows[b][1])
+                root[max(x, y)] = min(x, y)
+            return {c: find(c) for c in root}
+
+        pairs = [(a, b) for a in range(60) for b in range(60) if (a < 30 <= b if halves else b < a) and linked(sets[a], sets[b])]
+        assert groups(found) == groups(pairs)
+
+
+def test_passages_that_many_documents_share(spark, monkeypatch):
+    r = random.Random(13)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = []
+    for i in range(240):
+        own = " ".join(f"w{r.randrange(10**6)}" for _ in range(r.choice([5, 20, 200])))
+        rows.append((i, f"{own} {passage}" if i % 3 else own))
+    rows += [(1000 + i, " ".join([*(f"c{k}" for k in range(80)), f"x{i}", f"y{i % 7}"])) for i in range(150)]
+    monkeypatch.setattr(ngram_join, "SHORT", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK", 40)
+    sets = [ngram_join.shingle_sets([t])[0] for _, t in rows]
+    root = list(range(len(rows)))
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in range(len(rows)):
+        for b in range(a):
+            if linked(sets[a], sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)}
