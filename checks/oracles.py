@@ -479,6 +479,19 @@ def asked(sql: str) -> str:
 ORACLES["question_keywords"] = ctes(("qs", duckdb_sql("questions"))) + KEYWORDS
 ORACLES["score_content"] = asked("SELECT * FROM r2")
 ORACLES["score_modules"] = asked("SELECT q_id, repo_id, path, score FROM r3")
+_HITS = (
+    "SELECT repo_id, path, kw, max(c) AS c, max(m) AS m FROM ("
+    "SELECT repo_id, path, kw, 1 AS c, 0 AS m FROM vocabulary JOIN pv USING (repo_id) WHERE contains(lower(preview), kw) UNION ALL "
+    "SELECT repo_id, path, kw, 0, 1 FROM vocabulary JOIN m USING (repo_id) "
+    "WHERE contains(lower(name || ' ' || array_to_string(classes, ' ') || ' ' || array_to_string(functions, ' ')), kw)) z GROUP BY repo_id, path, kw")
+_CLASSES = ctes(*RETRIEVAL_CTES, ("vocabulary", "SELECT DISTINCT repo_id, kw FROM kw"), ("hits", _HITS), (
+    "placed", "SELECT repo_id, path, min(path) OVER (PARTITION BY repo_id, held) AS class FROM ("
+              "SELECT repo_id, path, string_agg(kw || ':' || c || m, ' ' ORDER BY kw) AS held FROM hits GROUP BY repo_id, path) z"))
+ORACLES["file_classes"] = _CLASSES + "SELECT repo_id, class, path FROM placed"
+ORACLES["class_keywords"] = _CLASSES + (
+    "SELECT DISTINCT repo_id, class, kw, cast(c AS integer) AS c, cast(m AS integer) AS m FROM placed JOIN hits USING (repo_id, path)")
+ORACLES["expanded_scores"] = asked(
+    "SELECT q_id, repo_id, path, score, branch FROM (SELECT *, 0 AS branch FROM r2 UNION ALL SELECT *, 1 FROM r3) u WHERE q_id % 100 = 0")
 ORACLES["relevant_files"] = asked("SELECT * FROM r4")
 ORACLES["relevant_context"] = asked(
     "SELECT q_id, repo_id, string_agg('--- ' || path || ' ---' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS context FROM r4 GROUP BY q_id, repo_id")

@@ -203,6 +203,27 @@ def _(spark, sf):
     return retrieval.score_modules(keywords, modules, retrieval.score_content(keywords, previews))
 
 
+def _matches(spark, sf):
+    return retrieval.MatchClasses(*_retrieval(spark, sf), stage=stored(staging_folder(spark)))
+
+
+@query("file_classes")
+def _(spark, sf):
+    """Files that match the same keywords, named by the first path."""
+    return _matches(spark, sf).members
+
+
+@query("class_keywords")
+def _(spark, sf):
+    return _matches(spark, sf).postings
+
+
+@query("expanded_scores")
+def _(spark, sf):
+    """Every hundredth question against all files, from the factors."""
+    return _matches(spark, sf).expand(corpus(spark, sf, "questions").where("q_id % 100 = 0"))
+
+
 @query("relevant_files")
 def _(spark, sf):
     return retrieval.relevant_files(*_retrieval(spark, sf), stage=stored(staging_folder(spark)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens import rules
@@ -68,54 +68,148 @@ def _scores(keywords: DataFrame, hits: DataFrame, per_hit: int) -> DataFrame:
 
 
 def score_content(keywords: DataFrame, previews: DataFrame) -> DataFrame:
-    """R2: number of a question's keywords found in a preview; every scored pair is a row."""
+    """R2 expanded: number of a question's keywords found in a preview; every scored pair is a row."""
     return _scores(keywords, content_hits(keywords, previews), 1)
 
 
 def score_modules(keywords: DataFrame, modules: DataFrame, by_content: DataFrame) -> DataFrame:
-    """Two per keyword found in the names of a module that R2 did not score for the question."""
+    """R3 expanded: two per keyword found in the names of a module that R2 did not score for the question."""
     scored = _scores(keywords, module_hits(keywords, modules), 2)
     return scored.join(by_content.select("q_id", "path"), ["q_id", "path"], "left_anti").select(
         "q_id", "repo_id", "path", "score")
 
 
+class MatchClasses:
+    """R2 and R3 in factors: files that match the same keywords score the same for every question.
+
+    ``members`` (repo_id, class, path) has a row for each file that matches anything, ``classes`` (repo_id, class,
+    paths, in_content, in_names) one for each class, with its first ``k`` paths, and ``keywords`` those of the
+    questions.  Together they are linear in files and questions; ``expand`` gives the exact scores of the
+    questions asked for.  A class is named by its first path.  With a ``stage``, keywords, runs, files and
+    classes are written once, as each of them is needed more than once.
+    """
+
+    def __init__(
+        self, keywords: DataFrame, previews: DataFrame, modules: DataFrame, k: int = rules.RELEVANT_FILES, stage: Stage = as_is,
+    ) -> None:
+        self.keywords = keywords = stage("keywords", keywords)
+        empty = F.array().cast("array<string>")
+        tagged = content_hits(keywords, previews, stage).withColumn("in_content", F.lit(True)).unionByName(
+            module_hits(keywords, modules, stage).withColumn("in_content", F.lit(False)))
+        words_where = lambda found: F.coalesce(F.array_sort(F.collect_set(F.when(found, F.col("kw")))), empty)
+        self.matched = stage("matched", tagged.groupBy("repo_id", "path").agg(
+            words_where(F.col("in_content")).alias("in_content"), words_where(~F.col("in_content")).alias("in_names")))
+        first = top_n(self.matched, self.alike, [F.col("path")], k).groupBy(*self.alike).agg(
+            F.array_sort(F.collect_list("path")).alias("paths"))
+        self.classes = stage("classes", first.select("repo_id", F.get("paths", F.lit(0)).alias("class"), "paths", "in_content", "in_names"))
+
+    alike = ["repo_id", "in_content", "in_names"]
+
+    @property
+    def members(self) -> DataFrame:
+        """A class of many files is spread over the salts of the join."""
+        return salted_join(self.matched, self.classes.select(*self.alike, "class"), self.alike, "path").select("repo_id", "class", "path")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(repo_id, class, kw, c, m): whether a keyword stands in the content and in the names of a class."""
+        cells = F.concat(
+            F.transform("in_content", lambda w: F.struct(w.alias("kw"), F.lit(1).alias("c"), F.lit(0).alias("m"))),
+            F.transform("in_names", lambda w: F.struct(w.alias("kw"), F.lit(0).alias("c"), F.lit(1).alias("m"))))
+        return self.classes.select("repo_id", "class", F.explode(cells).alias("x")).select("repo_id", "class", "x.*").groupBy(
+            "repo_id", "class", "kw").agg(F.max("c").alias("c"), F.max("m").alias("m"))
+
+    def expand(self, questions: DataFrame) -> DataFrame:
+        """(q_id, repo_id, path, score, branch) of every scored pair of the questions (q_id); branch 0 is R2, 1 is R3."""
+        asked = self.keywords.join(questions.select("q_id").distinct(), "q_id", "left_semi")
+        scored = asked.join(self.postings, ["repo_id", "kw"]).groupBy("q_id", "repo_id", "class").agg(
+            F.sum("c").alias("c"), F.sum("m").alias("m"))
+        scored = scored.select("q_id", "repo_id", "class", *_score(F.col("c"), F.col("m")))
+        return scored.join(self.members, ["repo_id", "class"]).select("q_id", "repo_id", "path", "score", "branch")
+
+
+def _score(c: Column, m: Column) -> list[Column]:
+    """Matches in the content count, with those in the names, doubled, in their place if there are none."""
+    return [F.when(c > 0, c).otherwise(m * 2).alias("score"), (c == 0).cast("int").alias("branch")]
+
+
+def best_classes(
+    matches: MatchClasses, k: int = rules.RELEVANT_FILES, rare: int = 32, first_chunk: int = 64, stage: Stage = as_is,
+) -> DataFrame:
+    """(q_id, repo_id, class, score, branch): the first ``k`` classes of every question, by a threshold algorithm.
+
+    Classes that hold one of a question's rare keywords (in at most ``rare`` classes) are scored first: at most
+    ``rare`` rows a keyword.  All others match frequent keywords only, which bounds their score.  A question whose
+    ``k``-th score reaches that bound is done; the others meet the classes in the order of their paths, chunk by
+    chunk, each four times the last one.  In path order a later class loses every tie, so a question stops as
+    soon as its ``k``-th score reaches the bound.  A word that stands in every file is a bound of one, which the first
+    chunk meets; no table of questions by classes is made.
+    """
+    lists = stage("lists", _lists(stage("postings", matches.postings), rare))
+    known = salted_join(matches.keywords, lists, ["repo_id", "kw"], "q_id")
+    frequent = F.col("n") > rare
+    asked = stage("asked", known.groupBy("q_id", "repo_id").agg(
+        F.collect_list("kw").alias("wanted"), F.count_if(frequent & (F.col("in_content") > 0)).alias("fc"),
+        F.count_if(frequent & (F.col("in_names") > 0)).alias("fm"),
+        F.array_distinct(F.flatten(F.collect_list("holders"))).alias("holders")).select(
+        "q_id", "repo_id", "wanted", F.greatest("fc", F.col("fm") * 2).alias("bound"), "holders"))
+    classes = matches.classes.select("repo_id", "class", "in_content", "in_names")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        size = lambda held: F.size(F.array_intersect("wanted", held))
+        return pairs.select("q_id", "repo_id", "class", *_score(size("in_content"), size("in_names"))).where("score > 0")
+
+    def first_k(rows: DataFrame) -> DataFrame:
+        return top_n(rows, ["q_id"], [F.col("score").desc(), F.col("branch"), F.col("class")], k).drop("rank")
+
+    found = stage("best_0", first_k(scored(asked.select("q_id", "repo_id", "wanted", F.explode("holders").alias("class")).join(
+        classes, ["repo_id", "class"]))))
+    sizes = stage("sizes", classes.groupBy("repo_id").agg(F.count("*").alias("classes")))
+    done, chunk, at = 0, first_chunk, 1
+    while True:
+        last = found.groupBy("q_id").agg(F.count("*").alias("held"), F.max_by(F.struct("score", "branch"), F.struct(
+            -F.col("score"), "branch")).alias("last"))
+        reached = (F.col("held") == k) & ((F.col("last.score") > F.col("bound")) | (
+            (F.col("last.score") == F.col("bound")) & (F.col("last.branch") == 0)))
+        # a question with no frequent keyword has met all its classes; one whose repository has no more classes, too
+        still = salted_join(asked.drop("holders"), sizes, ["repo_id"], "q_id").join(last, "q_id", "left").where(
+            (F.col("bound") > 0) & (F.col("classes") > done) & ~F.coalesce(reached, F.lit(False)))
+        still = stage(f"open_{at}", still.select("q_id", "repo_id", "wanted"))
+        if still.isEmpty():
+            return found
+        # each task sends at most the first `done + chunk` classes of a repository
+        part = top_n(classes.join(still.select("repo_id").distinct(), "repo_id", "left_semi"), ["repo_id"], [F.col("class")],
+                     done + chunk, rank="place").where(F.col("place") > done).drop("place")
+        salts = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = still.withColumn("_salt", F.pmod(F.xxhash64("q_id"), F.lit(salts)).cast("int"))
+        copies = part.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        more = first_k(scored(spread.join(copies, ["repo_id", "_salt"])))
+        found = stage(f"best_{at}", first_k(found.unionByName(more).distinct()))
+        done, chunk, at = done + chunk, 4 * chunk, at + 1
+
+
+def _lists(postings: DataFrame, rare: int) -> DataFrame:
+    """(repo_id, kw, in_content, in_names, n, holders): in how many classes a keyword stands; which, if it is rare."""
+    counts = postings.groupBy("repo_id", "kw").agg(
+        F.sum("c").alias("in_content"), F.sum("m").alias("in_names"), F.count("*").alias("n"))
+    few = top_n(postings, ["repo_id", "kw"], [F.col("class")], rare).groupBy("repo_id", "kw").agg(F.collect_list("class").alias("holders"))
+    none = F.array().cast("array<string>")
+    return counts.join(few, ["repo_id", "kw"], "left").withColumn("holders", F.when(F.col("n") <= rare, F.col("holders")).otherwise(none))
+
+
 def relevant_files(
     keywords: DataFrame, previews: DataFrame, modules: DataFrame, k: int = rules.RELEVANT_FILES, stage: Stage = as_is,
+    rare: int = 32, first_chunk: int = 64,
 ) -> DataFrame:
     """The best ``k`` files of a question, ties to content matches and then to the path.
 
-    Files of a repository that match the same keywords score the same for every question, so they
-    form one class and only the first ``k`` paths of a class can ever be chosen.  Questions are
-    scored against classes; a million copies of a file are one class.  With a ``stage``, keywords, runs and
-    classes are written once, as each of them is needed more than once.
+    Of a class only the first ``k`` paths can ever be chosen; a million copies of a file are one class.
     """
-    keywords = stage("keywords", keywords)
-    empty = F.array().cast("array<string>")
-    tagged = content_hits(keywords, previews, stage).withColumn("in_content", F.lit(True)).unionByName(
-        module_hits(keywords, modules, stage).withColumn("in_content", F.lit(False)))
-    matched = tagged.groupBy("repo_id", "path").agg(
-        F.array_sort(F.collect_set(F.when(F.col("in_content"), F.col("kw")))).alias("in_content"),
-        F.array_sort(F.collect_set(F.when(~F.col("in_content"), F.col("kw")))).alias("in_names"))
-    alike = ["repo_id", "in_content", "in_names"]
-    classes = stage("classes", top_n(matched, alike, [F.col("path")], k).groupBy(*alike).agg(
-        F.array_sort(F.collect_list("path")).alias("paths")))
-    # a path belongs to one class, so the first path names the class within its repository
-    cells = F.concat(
-        F.transform(F.coalesce("in_content", empty), lambda w: F.struct(w.alias("kw"), F.lit(1).alias("c"), F.lit(0).alias("m"))),
-        F.transform(F.coalesce("in_names", empty), lambda w: F.struct(w.alias("kw"), F.lit(0).alias("c"), F.lit(1).alias("m"))))
-    postings = classes.select("repo_id", F.get("paths", F.lit(0)).alias("class"), F.explode(cells).alias("x")).select(
-        "repo_id", "class", "x.*")
-    scored = keywords.join(postings, ["repo_id", "kw"]).groupBy("q_id", "repo_id", "class").agg(
-        F.sum("c").alias("c"), F.sum("m").alias("m"))
-    scored = scored.select(
-        "q_id", "repo_id", "class", F.when(F.col("c") > 0, F.col("c")).otherwise(F.col("m") * 2).alias("score"),
-        (F.col("c") == 0).cast("int").alias("branch"))
-    best = [F.col("score").desc(), F.col("branch")]
-    chosen = top_n(scored, ["q_id"], [*best, F.col("class")], k, rank="class_rank")
-    members = classes.select("repo_id", F.get("paths", F.lit(0)).alias("class"), "paths")
-    paths = chosen.join(members, ["repo_id", "class"]).select(
+    matches = MatchClasses(keywords, previews, modules, k, stage)
+    chosen = best_classes(matches, k, rare, first_chunk, stage)
+    paths = chosen.join(matches.classes.select("repo_id", "class", "paths"), ["repo_id", "class"]).select(
         "q_id", "repo_id", "score", "branch", F.explode("paths").alias("path"))
-    picks = top_n(paths, ["q_id"], [*best, F.col("path")], k)
+    picks = top_n(paths, ["q_id"], [F.col("score").desc(), F.col("branch"), F.col("path")], k)
     snippets = previews.select(
         "repo_id", "path", F.substring("preview", 1, rules.SNIPPET_CHARS).alias("snippet"))
     return picks.join(snippets, ["repo_id", "path"], "left").select(

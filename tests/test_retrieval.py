@@ -5,6 +5,7 @@ import re
 
 from corpuslens import rules
 from corpuslens.operators import retrieval
+from corpuslens.plans.analysis import stored
 from tests.conftest import rows_of
 
 RUN = re.compile(r"\w+")
@@ -47,14 +48,14 @@ def brute(previews, modules, questions):
     return content, names, best
 
 
-def test_ranking_equals_brute_force(spark):
+def test_ranking_equals_brute_force(spark, tmp_path):
     previews, modules, questions, pdf, mdf, qdf = fixture(spark)
     content, names, best = brute(previews, modules, questions)
     keywords = retrieval.question_keywords(qdf)
     by_content = retrieval.score_content(keywords, pdf)
     assert set(rows_of(by_content, "q_id", "path", "score")) == content
     assert set(rows_of(retrieval.score_modules(keywords, mdf, by_content), "q_id", "path", "score")) == names
-    assert set(rows_of(retrieval.relevant_files(keywords, pdf, mdf), "q_id", "rank", "path", "score")) == best
+    assert set(rows_of(retrieval.relevant_files(keywords, pdf, mdf, stage=stored(str(tmp_path))), "q_id", "rank", "path", "score")) == best
 
 
 def test_context_text(spark):
@@ -80,3 +81,41 @@ def test_history_window(spark):
     rows = [(c, t, "user", f"{t}") for c in (1, 2) for t in range(13)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert rows_of(retrieval.history_window(df).where("conv_id = 1"), "turn") == [(t,) for t in range(3, 13)]
+
+
+def test_threshold_algorithm_equals_brute_force(spark, tmp_path):
+    previews, modules, questions, pdf, mdf, qdf = fixture(spark)
+    _c, _n, best = brute(previews, modules, questions)
+    keywords = retrieval.question_keywords(qdf)
+    for i, (rare, chunk) in enumerate([(0, 1), (1, 2), (2, 8), (500, 64)]):
+        got = retrieval.relevant_files(keywords, pdf, mdf, stage=stored(f"{tmp_path}/{i}"), rare=rare, first_chunk=chunk)
+        assert set(rows_of(got, "q_id", "rank", "path", "score")) == best
+
+
+def test_factors_expand_to_all_scores(spark, tmp_path):
+    previews, modules, questions, pdf, mdf, qdf = fixture(spark)
+    content, names, _b = brute(previews, modules, questions)
+    matches = retrieval.MatchClasses(retrieval.question_keywords(qdf), pdf, mdf, stage=stored(str(tmp_path)))
+    got = matches.expand(qdf.where("q_id % 3 = 0"))
+    assert set(rows_of(got.where("branch = 0"), "q_id", "path", "score")) == {x for x in content if x[0] % 3 == 0}
+    assert set(rows_of(got.where("branch = 1"), "q_id", "path", "score")) == {x for x in names if x[0] % 3 == 0}
+    assert matches.members.count() == matches.members.select("repo_id", "path").distinct().count()
+
+
+def test_a_word_of_every_file_makes_no_pairs(spark, tmp_path):
+    """2,000 files that all hold one word, each with words of its own, and 300 questions for that word."""
+    files = spark.range(2000).selectExpr(
+        "'r' AS repo_id", "concat('d', lpad(cast(id AS string), 4, '0'), '.py') AS path", "'x.py' AS name",
+        "concat('common w', cast(id % 97 AS string), ' v', cast(id % 89 AS string)) AS preview")
+    names = files.selectExpr("repo_id", "path", "name", "array() AS classes", "array() AS functions")
+    asked = spark.range(300).selectExpr("id AS q_id", "'r' AS repo_id", "concat('common w', cast(id % 97 AS string)) AS text")
+    rows = {}
+
+    def stage(name, df):
+        out = stored(str(tmp_path))(name, df)
+        rows[name] = out.count()
+        return out
+
+    got = retrieval.relevant_files(retrieval.question_keywords(asked), files, names, stage=stage, first_chunk=16)
+    assert got.count() == 1200
+    assert rows["classes"] >= 97 and max(n for name, n in rows.items() if name.startswith("best")) <= 1200
