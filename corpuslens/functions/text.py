@@ -5,6 +5,8 @@ All of them are native expressions; none brings Python into the executors.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,3 +116,44 @@ def sanitize_id(name: Column) -> Column:
 def sanitize_label(name: Column) -> Column:
     """Diagram label without bracket characters."""
     return F.translate(name, "[](){}<>", "")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once a row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array as about as many blocks as a block has items."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))).cast("int"), F.lit(1))
+    last = F.greatest(F.ceil(F.size(items) / size).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * size + 1, size))
+
+
+def before_each(sizes: Column) -> Column:
+    """For an array of numbers, the sum of those before each.
+
+    An array grows by copying, so one pass over n items copies n * n / 2 of them; blocks as many as
+    long copy n times the square root of n.
+    """
+    def sums(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct(
+            (acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, sums(totals, F.lit(0).cast("bigint")), sums))
+
+    return bound(F.transform(sizes, lambda x: x.cast("bigint")), lambda all_: bound(_in_blocks(all_), joined))
+
+
+def first_of_name(items: Column) -> Column:
+    """Structs without those whose ``name`` stands before, in order: by sorting, not by comparing all with all."""
+    def kept(named: Column) -> Column:
+        return F.array_sort(F.filter(named, lambda x, i: (i == 0) | (F.get(named, i - 1)["name"] != x["name"])),
+                            lambda x, y: x["at"] - y["at"])
+
+    return bound(items, lambda all_: F.transform(
+        bound(F.array_sort(F.transform(all_, lambda x, i: F.struct(x["name"].alias("name"), i.alias("at")))), kept),
+        lambda x: F.get(all_, x["at"])))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.paths import below_directory, prune_paths
-from corpuslens.functions.text import find_all, find_fields, first_match, pattern, strip
+from corpuslens.functions.text import find_all, find_fields, first_match, first_of_name, pattern, strip
 from corpuslens.operators.files import with_text
 
 COLUMN_TYPE = "struct<name:string,type:string,primary_key:boolean>"
@@ -63,8 +63,7 @@ def laravel_tables(text: Column) -> Column:
             added = F.array(*[
                 _column(F.lit(n), F.lit(helper), F.lit(helper in rules.LARAVEL_KEYS)) for n in names])
             defaults.append(F.when(used, added).otherwise(none))
-        every = F.concat(named, *defaults)
-        return F.filter(every, lambda c, i: F.array_position(F.transform(every, lambda x: x["name"]), c["name"]) == i + 1)
+        return first_of_name(F.concat(named, *defaults))
 
     return F.transform(tables, lambda t: _table(t["name"], columns(t["body"])))
 

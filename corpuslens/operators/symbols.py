@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.paths import prune_paths
-from corpuslens.functions.text import find_all, find_fields, newline_count, pattern, strip
+from corpuslens.functions.text import before_each, bound, find_all, find_fields, newline_count, pattern, strip
 from corpuslens.operators.files import classify_language, with_text
 from corpuslens.operators.pyfacts import python_facts
 
@@ -181,14 +181,12 @@ def python_definitions(facts: DataFrame) -> DataFrame:
 
 def _with_line(located: Column) -> Column:
     """Line of each match: newlines in everything before it, summed up inside the row."""
-    empty = F.expr("CAST(array() AS array<struct<kind:string,line:int,g1:string,g2:string,g3:string>>)")
+    def numbered(found: Column) -> Column:
+        return F.zip_with(found, before_each(F.transform(found, lambda m: m["whole_nl"])), lambda m, before: F.struct(
+            m["kind"].alias("kind"), (before + m["gap_nl"] + 1).cast("int").alias("line"),
+            m["g1"].alias("g1"), m["g2"].alias("g2"), m["g3"].alias("g3")))
 
-    def step(acc: Column, m: Column) -> Column:
-        line = (acc["newlines"] + m["gap_nl"] + 1).cast("int")
-        here = F.struct(m["kind"].alias("kind"), line.alias("line"), m["g1"].alias("g1"), m["g2"].alias("g2"), m["g3"].alias("g3"))
-        return F.struct((acc["newlines"] + m["whole_nl"]).alias("newlines"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    return F.aggregate(located, F.struct(F.lit(0).cast("long").alias("newlines"), empty.alias("out")), step, lambda acc: acc["out"])
+    return bound(located, numbered)
 
 
 def _located(text: Column, body: str, kind: str, groups: list[int]) -> Column:
