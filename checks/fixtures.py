@@ -171,13 +171,13 @@ GROUP BY p_size, style
 FX_STACK = """
 SELECT concat('repo', cast(s_suppkey % 20 AS string)) AS repo_id,
   CASE s_suppkey % 5 WHEN 0 THEN concat('stack', cast(s_suppkey AS string), '/package.json') WHEN 1 THEN concat('stack', cast(s_suppkey AS string), '/requirements.txt')
-    WHEN 2 THEN 'Dockerfile' WHEN 3 THEN 'config/routes.rb' ELSE concat('stack', cast(s_suppkey AS string), '/urls.py') END AS path,
+    WHEN 2 THEN concat(own, 'Dockerfile') WHEN 3 THEN concat(own, 'config/routes.rb') ELSE concat('stack', cast(s_suppkey AS string), '/urls.py') END AS path,
   CASE s_suppkey % 5
     WHEN 0 THEN concat('{"dependencies": {"preact": "^', cast(s_nationkey AS string), '.0", "express": "~4.', cast(s_nationkey AS string), '"}, "devDependencies": {"jest": ">=', cast(s_suppkey AS string), '"}}')
     WHEN 1 THEN concat('# pins', chr(10), 'Django==', cast(s_nationkey AS string), '.', cast(s_suppkey AS string), chr(10), 'flask>=1', chr(10), 'beta-lib', chr(10))
     ELSE 'x' END AS content
-FROM (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_suppkey % 20, CASE WHEN s_suppkey % 5 IN (2, 3) THEN 0 ELSE s_suppkey END ORDER BY s_suppkey) AS nth FROM supplier) s
-WHERE nth = 1
+FROM (SELECT s_suppkey, s_nationkey, CASE WHEN row_number() OVER (PARTITION BY s_suppkey % 20, s_suppkey % 5 ORDER BY s_suppkey) = 1 THEN ''
+    ELSE concat('stack', cast(s_suppkey AS string), '/') END AS own FROM supplier) s
 """
 
 FX_QUESTIONS = """

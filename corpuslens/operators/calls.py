@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuslens import rules
 from corpuslens.functions.paths import prune_paths
-from corpuslens.functions.text import find_all, find_fields, one_line, pattern
+from corpuslens.functions.text import bound, find_all, find_fields, one_line, pattern
 from corpuslens.operators.files import with_text
 
 
@@ -32,13 +32,11 @@ def _called(piece: Column) -> Column:
     return F.filter(find_all(piece, pattern(one_line(rules.CALL_LINEAR))), lambda c: ~c.isin(rules.NOT_CALLS))
 
 
-def generic_functions(files: DataFrame) -> DataFrame:
-    """Functions of the pattern languages with their calls, last definition of a name only.
+def functions_in() -> Column:
+    """ARRAY<STRUCT<fn, callees>> of a file's text, last definition of a name only; NULL without patterns.
 
-    A file is one row, so the last definition of a name is found inside it: the definitions are sorted by name
-    and place, and one stays where the next has another name. Nothing is shuffled.
+    The definitions are sorted by name and place, and one stays where the next has another name.
     """
-    sources = with_text(prune_paths(files, "P1")).where(F.col("ext").isin(list(rules.CALL_DEFINITIONS)))
     none = F.array().cast("array<string>")
 
     def by_extension(of) -> Column:
@@ -47,8 +45,6 @@ def generic_functions(files: DataFrame) -> DataFrame:
             found = F.when(F.col("ext") == ext, of(definition)).otherwise(found)
         return found
 
-    rows = sources.select("repo_id", "path", "ext", by_extension(lambda d: _pieces(F.col("text"), d)).alias("pieces"))
-
     def defined_in(piece: Column, at: Column) -> Column:
         names = by_extension(lambda d: _defined(F.substring_index(piece, "\n", 1), d))
         # several definitions on one line: each restarts its list, the last one receives the calls
@@ -56,9 +52,26 @@ def generic_functions(files: DataFrame) -> DataFrame:
             fn.alias("fn"), at.alias("at"), nth.alias("nth"),
             F.when(nth == F.size(names) - 1, _called(piece)).otherwise(none).alias("callees")))
 
-    rows = rows.select("repo_id", "path", F.array_sort(F.flatten(F.transform("pieces", defined_in))).alias("defined"))
-    last = F.filter("defined", lambda d, i: F.coalesce(F.get("defined", i + 1)["fn"] != d["fn"], F.lit(True)))
-    return rows.select("repo_id", "path", F.explode(last).alias("d")).select("repo_id", "path", "d.fn", "d.callees")
+    def last_of_name(defined: Column) -> Column:
+        last = F.filter(defined, lambda d, i: F.coalesce(F.get(defined, i + 1)["fn"] != d["fn"], F.lit(True)))
+        return F.transform(last, lambda d: F.struct(d["fn"].alias("fn"), d["callees"].alias("callees")))
+
+    pieces = by_extension(lambda d: _pieces(F.col("text"), d))
+    return bound(F.array_sort(F.flatten(F.transform(pieces, defined_in))), last_of_name)
+
+
+def generic_functions(files: DataFrame) -> DataFrame:
+    """Functions of the pattern languages with their calls, last definition of a name only.
+
+    A file is one row, so the last definition of a name is found inside it.  Nothing is shuffled.
+    """
+    sources = with_text(prune_paths(files, "P1")).where(F.col("ext").isin(list(rules.CALL_DEFINITIONS)))
+    return as_functions(sources.select("repo_id", "path", functions_in().alias("calls")))
+
+
+def as_functions(rows: DataFrame) -> DataFrame:
+    """One row a function, from (repo_id, path, calls)."""
+    return rows.select("repo_id", "path", F.explode("calls").alias("d")).select("repo_id", "path", "d.fn", "d.callees")
 
 
 def python_functions(facts: DataFrame) -> DataFrame:

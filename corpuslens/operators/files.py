@@ -26,11 +26,14 @@ def file_previews(files: DataFrame) -> DataFrame:
 def pick_readme(files: DataFrame) -> DataFrame:
     """The first README name that exists in the repository root."""
     order = F.array_position(text_array(rules.README_NAMES), F.col("path"))
-    found = files.where(F.col("path").isin(rules.README_NAMES)).select(
-        "repo_id",
-        order.alias("n"),
-        F.substring(universal_newlines(F.col("content")), 1, rules.README_CHARS).alias("readme"),
-    )
+    if "readme" in files.columns:  # stored heads
+        found = files.where(F.col("path").isin(rules.README_NAMES)).select("repo_id", order.alias("n"), "readme")
+    else:
+        found = files.where(F.col("path").isin(rules.README_NAMES)).select(
+            "repo_id",
+            order.alias("n"),
+            F.substring(universal_newlines(F.col("content")), 1, rules.README_CHARS).alias("readme"),
+        )
     return found.groupBy("repo_id").agg(F.min_by("readme", "n").alias("readme"))
 
 

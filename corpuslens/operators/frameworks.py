@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens import rules
 from corpuslens.functions.paths import prune_paths
 from corpuslens.functions.text import (
-    any_word, first_match, literal_map, lstrip, strip, text_array,
+    any_word, bound, first_match, literal_map, lstrip, strip, text_array,
 )
 from corpuslens.operators.files import with_text
 
@@ -30,23 +30,19 @@ def framework_by_file(files: DataFrame) -> DataFrame:
     )
 
 
+MANIFESTS = ["package.json", "requirements.txt"]
+PACKAGE = "dependencies map<string,string>, devDependencies map<string,string>"
+
+
 def _manifests(files: DataFrame) -> DataFrame:
-    """Both readable manifest kinds with the text that is searched (`hay`) for dependency names."""
-    found = with_text(prune_paths(files, "P2")).where(F.col("name").isin("package.json", "requirements.txt"))
-    parsed = F.from_json("text", "dependencies map<string,string>, devDependencies map<string,string>")
-    parsed = F.when(F.col("name") == "package.json", parsed)
-    found = found.withColumn("package", parsed)
-    keys = F.concat_ws("\n", F.map_keys("package.dependencies"), F.map_keys("package.devDependencies"))
-    return found.select(
-        "repo_id", "path", "name", "text", "package",
-        F.when(F.col("name") == "package.json", keys).otherwise(F.lower("text")).alias("hay"))
-
-
-def _exact_version(deps: list[str]) -> Column:
+    return with_text(prune_paths(files, "P2")).where(F.col("name").isin(MANIFESTS))
+
+
+def _exact_version(package: Column, deps: list[str]) -> Column:
     """First rule dependency that is an exact key; devDependencies win over dependencies."""
     found = [
-        F.coalesce(F.try_element_at(F.col("package.devDependencies"), F.lit(d)),
-                   F.try_element_at(F.col("package.dependencies"), F.lit(d)))
+        F.coalesce(F.try_element_at(package["devDependencies"], F.lit(d)),
+                   F.try_element_at(package["dependencies"], F.lit(d)))
         for d in deps
     ]
     return lstrip(F.coalesce(*found), rules.VERSION_PREFIX_CHARS)
@@ -59,16 +55,36 @@ def _pinned_version(deps: list[str]) -> Column:
     return strip(first_match(F.col("text"), regex))
 
 
+def rules_in() -> Column:
+    """ARRAY<STRUCT<framework, fires, version>> of one manifest's text: the rules that fire or find a version."""
+    is_package = F.col("name") == "package.json"
+
+    def of_package(package: Column) -> Column:
+        keys = F.concat_ws("\n", F.map_keys(package["dependencies"]), F.map_keys(package["devDependencies"]))
+
+        def searched(hay: Column) -> Column:
+            facts = []
+            for name, _, deps, _ in rules.FRAMEWORKS:
+                if deps:
+                    # a text that names no dependency has no line with its version
+                    version = F.when(is_package, _exact_version(package, deps)).otherwise(_pinned_version(deps))
+                    facts.append(F.when(any_word(hay, deps), F.struct(
+                        F.lit(name).alias("framework"), F.lit(True).alias("fires"), version.alias("version"))))
+            return F.array_compact(F.array(*facts))
+
+        return bound(F.when(is_package, keys).otherwise(F.lower("text")), searched)
+
+    return bound(F.when(is_package, F.from_json("text", PACKAGE)), of_package)
+
+
+def as_manifest_facts(rows: DataFrame) -> DataFrame:
+    """One row a rule, from (repo_id, path, rules)."""
+    return rows.select("repo_id", "path", F.explode("rules").alias("f")).select("repo_id", "path", "f.*")
+
+
 def manifest_facts(files: DataFrame) -> DataFrame:
     """One row per manifest and rule: does it fire, and which version does it give."""
-    facts = []
-    for name, _, deps, _ in rules.FRAMEWORKS:
-        if deps:
-            version = F.when(F.col("name") == "package.json", _exact_version(deps)).otherwise(_pinned_version(deps))
-            facts.append(F.struct(
-                F.lit(name).alias("framework"), any_word(F.col("hay"), deps).alias("fires"), version.alias("version")))
-    rows = _manifests(files).select("repo_id", "path", F.explode(F.array(*facts)).alias("f"))
-    return rows.select("repo_id", "path", "f.*").where(F.col("fires") | F.col("version").isNotNull())
+    return as_manifest_facts(_manifests(files).select("repo_id", "path", rules_in().alias("rules")))
 
 
 def framework_by_dep(files: DataFrame) -> DataFrame:
@@ -85,12 +101,16 @@ def framework_version(files: DataFrame) -> DataFrame:
     )
 
 
-def frameworks(files: DataFrame) -> DataFrame:
-    """one aggregation over both kinds of evidence, at most one row per rule and repository."""
+def frameworks(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """one aggregation over both kinds of evidence, at most one row per rule and repository.
+
+    ``facts`` are stored manifest facts; without them the manifests are read.
+    """
     by_file = framework_by_file(files).select(
         "repo_id", "framework", F.lit(True).alias("fires"), F.lit(None).cast("string").alias("path"),
         F.lit(None).cast("string").alias("version"))
-    by_manifest = manifest_facts(files).select("repo_id", "framework", "fires", "path", "version")
+    facts = manifest_facts(files) if facts is None else facts
+    by_manifest = facts.select("repo_id", "framework", "fires", "path", "version")
     merged = by_file.unionByName(by_manifest).groupBy("repo_id", "framework").agg(
         F.bool_or("fires").alias("fires"),
         F.min(F.when(F.col("version").isNotNull(), F.struct("path", "version"))).alias("pick"))

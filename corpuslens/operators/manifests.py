@@ -133,21 +133,36 @@ FORMATS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _extract(files: DataFrame, names: list[str]) -> DataFrame:
-    manifests = with_text(prune_paths(files, "P1")).where(F.col("name").isin(names))
+PACKAGES = "array<struct<name:string,version:string,dep_group:string>>"
+
+
+def packages_in(names: list[str] | None = None) -> Column:
+    """The packages that a file declares, NULL where its name is none of the manifests."""
+    names = names or list(FORMATS)
     found = F.when(F.col("name") == names[0], FORMATS[names[0]](F.col("text")))
     for name in names[1:]:
         found = found.when(F.col("name") == name, FORMATS[name](F.col("text")))
+    return found
+
+
+def as_dependencies(rows: DataFrame) -> DataFrame:
+    """One row a package, from (repo_id, path, name, packages)."""
+    names = list(FORMATS)
     source = F.lit(rules.MANIFEST_SOURCES[names[0]])
     for name in names[1:]:
         source = F.when(F.col("name") == name, rules.MANIFEST_SOURCES[name]).otherwise(source)
-    rows = manifests.select(
-        "repo_id", F.col("path").alias("source_file"), source.alias("source"), F.posexplode(found).alias("seq", "d"))
+    rows = rows.select(
+        "repo_id", F.col("path").alias("source_file"), source.alias("source"), F.posexplode("packages").alias("seq", "d"))
     return rows.select(
         "repo_id", "source_file", "seq", F.col("d.name").alias("name"), F.col("d.version").alias("version"),
         F.lit("external").alias("type"), "source", F.col("d.dep_group").alias("dep_group"))
 
 
+def _extract(files: DataFrame, names: list[str]) -> DataFrame:
+    manifests = with_text(prune_paths(files, "P1")).where(F.col("name").isin(names))
+    return as_dependencies(manifests.select("repo_id", "path", "name", packages_in(names).alias("packages")))
+
+
 def dependencies(files: DataFrame) -> DataFrame:
     """All seven formats in one pass; duplicates are kept."""
     return _extract(files, list(FORMATS))

@@ -134,7 +134,7 @@ def _score(c: Column, m: Column) -> list[Column]:
 
 
 def best_classes(
-    matches: MatchClasses, k: int = rules.RELEVANT_FILES, rare: int = 32, first_chunk: int = 64, stage: Stage = as_is,
+    matches: MatchClasses, k: int = rules.RELEVANT_FILES, rare: int = 32, first_chunk: int = 256, stage: Stage = as_is,
 ) -> DataFrame:
     """(q_id, repo_id, class, score, branch): the first ``k`` classes of every question, by a threshold algorithm.
 
@@ -199,7 +199,7 @@ def _lists(postings: DataFrame, rare: int) -> DataFrame:
 
 def relevant_files(
     keywords: DataFrame, previews: DataFrame, modules: DataFrame, k: int = rules.RELEVANT_FILES, stage: Stage = as_is,
-    rare: int = 32, first_chunk: int = 64,
+    rare: int = 32, first_chunk: int = 256,
 ) -> DataFrame:
     """The best ``k`` files of a question, ties to content matches and then to the path.
 

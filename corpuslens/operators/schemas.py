@@ -156,8 +156,8 @@ def _tagged(tables: Column, number: int, finder: str) -> Column:
 FINDERS = ["sql", "laravel", "alembic", "py_ddl", "django", "sqlalchemy", "typeorm", "prisma"]
 
 
-def db_tables(files: DataFrame, finders: list[str] | None = None) -> DataFrame:
-    """All tables of all finders, before names are made unique; one scan, no shuffle."""
+def tables_in(finders: list[str] | None = None) -> tuple[Column, Column]:
+    """Which files are read at all, and their tables by all finders."""
     wanted = [(n, f) for n, f in enumerate(_finders(), start=1) if finders is None or f[0] in finders]
     none = F.array().cast(
         f"array<struct<finder_no:int,finder:string,pos:int,name:string,"
@@ -167,9 +167,18 @@ def db_tables(files: DataFrame, finders: list[str] | None = None) -> DataFrame:
     for number, (finder, applies, tables) in wanted:
         reads = applies if reads is None else reads | applies
         arrays.append(F.when(applies, _tagged(tables, number, finder)).otherwise(none))
-    sources = with_text(prune_paths(files, "P3")).where(reads)
-    found = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    return sources.select("repo_id", "path", F.explode(found).alias("t")).select("repo_id", "path", "t.*")
+    return reads, F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+
+
+def as_tables(rows: DataFrame) -> DataFrame:
+    """One row a table, from (repo_id, path, tables)."""
+    return rows.select("repo_id", "path", F.explode("tables").alias("t")).select("repo_id", "path", "t.*")
+
+
+def db_tables(files: DataFrame, finders: list[str] | None = None) -> DataFrame:
+    """All tables of all finders, before names are made unique; one scan, no shuffle."""
+    reads, found = tables_in(finders)
+    return as_tables(with_text(prune_paths(files, "P3")).where(reads).select("repo_id", "path", found.alias("tables")))
 
 
 def schema_sql(files: DataFrame) -> DataFrame:

@@ -88,9 +88,8 @@ def _sources(files: DataFrame, extensions: list[str]) -> DataFrame:
     return with_text(prune_paths(files, "P1")).where(F.col("ext").isin(extensions))
 
 
-def _pattern_modules(files: DataFrame, languages: list) -> DataFrame:
-    """Name arrays of all files whose language is read with patterns, in one narrow pass."""
-    extensions = [e for listed, _ in languages for e in listed]
+def name_arrays(languages: list) -> list[Column]:
+    """The four name arrays of a file's text, by the patterns of its extension; empty where it has none."""
     found = {a: [] for a in ARRAYS}
     for listed, facts in languages:
         for array, column in facts(F.col("text")).items():
@@ -101,7 +100,18 @@ def _pattern_modules(files: DataFrame, languages: list) -> DataFrame:
         for listed, column in reversed(found[array]):
             chosen = F.when(F.col("ext").isin(listed), column).otherwise(chosen)
         columns.append(chosen.alias(array))
-    return _sources(files, extensions).select("repo_id", "path", *columns)
+    return columns
+
+
+#: languages without patterns (`.rb`) have empty arrays
+ALL_LANGUAGES = [*LANGUAGES, ([".rb"], lambda text: {})]
+ALL_EXTENSIONS = [e for listed, _ in ALL_LANGUAGES for e in listed]
+
+
+def _pattern_modules(files: DataFrame, languages: list) -> DataFrame:
+    """Name arrays of all files whose language is read with patterns, in one narrow pass."""
+    extensions = [e for listed, _ in languages for e in listed]
+    return _sources(files, extensions).select("repo_id", "path", *name_arrays(languages))
 
 
 def _python_modules(facts: DataFrame) -> DataFrame:
@@ -110,16 +120,16 @@ def _python_modules(facts: DataFrame) -> DataFrame:
         F.col("classes.name").alias("classes"), F.col("functions.name").alias("functions"))
 
 
-def module_names(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """Name arrays of every source file; languages without patterns (`.rb`) have empty ones."""
+def module_names(files: DataFrame, facts: DataFrame | None = None, by_pattern: DataFrame | None = None) -> DataFrame:
+    """Name arrays of every source file; ``by_pattern`` are stored ones of the languages read with patterns."""
     facts = python_facts(files) if facts is None else facts
-    rest = [([".rb"], lambda text: {})]
-    return _pattern_modules(files, LANGUAGES + rest).unionByName(_python_modules(facts))
+    by_pattern = _pattern_modules(files, ALL_LANGUAGES) if by_pattern is None else by_pattern
+    return by_pattern.unionByName(_python_modules(facts))
 
 
-def modules(files: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def modules(files: DataFrame, facts: DataFrame | None = None, by_pattern: DataFrame | None = None) -> DataFrame:
     """M8: one row per source file.  Name and language come from the path, so nothing joins."""
-    return classify_language(module_names(files, facts)).select(
+    return classify_language(module_names(files, facts, by_pattern)).select(
         "repo_id", "path", "name", F.lit("file").alias("type"), "language", *ARRAYS)
 
 

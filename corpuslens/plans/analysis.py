@@ -2,9 +2,9 @@
 
 An ``Analysis`` declares every result table over ``files`` and ``commits``.  A table is planned when
 it is asked for.  ``stage`` decides what is materialised on the way: nothing by default; with
-``stored(folder)`` every table that others start from is written once and read back, so the corpus
-is scanned once per fact table, repository-level tables start from narrow facts, and a lost executor
-costs one task instead of the whole lineage.
+``stored(folder)`` every table that others start from is written once and read back, so the contents
+are read twice (all facts of single texts in one pass, and the Python leaf), other tables start from narrow
+facts, and a lost executor costs one task instead of the whole lineage.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens import rules
 from corpuslens.functions.paths import is_pruned
 from corpuslens.operators import (
     architecture, calls, complexity, diagrams, files as file_ops, frameworks, health, history, manifests,
@@ -39,12 +40,27 @@ def stored(folder: str) -> Stage:
     return stage
 
 
-def file_facts(files: DataFrame) -> DataFrame:
-    """One scan for everything that is a number per file: language, lines, counts, pattern scores."""
+def content_facts(files: DataFrame) -> DataFrame:
+    """One pass over the contents for every fact that a single text gives: one row a file, nested facts as columns.
+
+    Counts and pattern scores, ``preview``, ``readme``, ``names`` (modules), ``calls`` (functions with callees),
+    ``packages``, ``rules`` (frameworks) and ``tables``; NULL where a file is not read for them.  Written once, each
+    table reads only its columns.  Facts of Python files that need their syntax tree are apart.
+    """
     rows = file_ops.classify_language(file_ops.with_text(architecture.walked(files)))
+    text, ext, name = F.col("text"), F.col("ext"), F.col("name")
+    walked, reads = ~is_pruned(F.col("path"), "P1"), ~is_pruned(F.col("path"), "P3")
+    table_files, tables = schemas.tables_in()
     return rows.select(
-        "repo_id", "path", "dir", "name", "ext", "language", (~is_pruned(F.col("path"), "P1")).alias("walked"),
-        *complexity.file_counts(), *architecture.file_tenths())
+        "repo_id", "path", "dir", "name", "ext", "language", walked.alias("walked"),
+        *complexity.file_counts(), *architecture.file_tenths(),
+        F.when(walked & ext.isin(rules.PREVIEW_EXTENSIONS), F.substring(text, 1, rules.PREVIEW_CHARS)).alias("preview"),
+        F.when(F.col("path").isin(rules.README_NAMES), F.substring(text, 1, rules.README_CHARS)).alias("readme"),
+        F.when(walked & ext.isin(symbols.ALL_EXTENSIONS), F.struct(*symbols.name_arrays(symbols.ALL_LANGUAGES))).alias("names"),
+        F.when(walked & ext.isin(list(rules.CALL_DEFINITIONS)), calls.functions_in()).alias("calls"),
+        F.when(walked & name.isin(list(manifests.FORMATS)), manifests.packages_in()).alias("packages"),
+        F.when(name.isin(frameworks.MANIFESTS), frameworks.rules_in()).alias("rules"),
+        F.when(reads & table_files, tables).alias("tables"))
 
 
 def counted(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +82,10 @@ class Analysis:
     # --- facts per file ---------------------------------------------------------------------
     @cached_property
     def file_facts(self) -> DataFrame:
-        return self.stage("file_facts", file_facts(self.files))
+        return self.stage("file_facts", content_facts(self.files))
+
+    def _having(self, column: str) -> DataFrame:
+        return self.file_facts.where(F.col(column).isNotNull())
 
     @cached_property
     def repos(self) -> DataFrame:
@@ -85,15 +104,16 @@ class Analysis:
 
     @cached_property
     def previews(self) -> DataFrame:
-        return self.stage("previews", file_ops.file_previews(self.files))
+        return self._having("preview").select("repo_id", "path", "name", "preview")
 
     @cached_property
     def modules(self) -> DataFrame:
-        return self.stage("modules", symbols.modules(self.files, self.python_facts))
+        by_pattern = self._having("names").select("repo_id", "path", "names.*")
+        return symbols.modules(self.files, self.python_facts, by_pattern)
 
     @cached_property
     def functions(self) -> DataFrame:
-        return self.stage("functions", calls.all_functions(self.files, self.python_facts))
+        return calls.as_functions(self._having("calls")).unionByName(calls.python_functions(self.python_facts))
 
     @cached_property
     def call_graph(self) -> DataFrame:
@@ -101,12 +121,12 @@ class Analysis:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        return self.stage("dependencies", manifests.dependencies(self.files))
+        return manifests.as_dependencies(self._having("packages"))
 
     # --- facts per repository -----------------------------------------------------------------
     @cached_property
     def readme(self) -> DataFrame:
-        return file_ops.pick_readme(self.files)
+        return file_ops.pick_readme(self._having("readme"))
 
     @cached_property
     def language_stats(self) -> DataFrame:
@@ -114,7 +134,8 @@ class Analysis:
 
     @cached_property
     def frameworks(self) -> DataFrame:
-        return self.stage("frameworks", frameworks.frameworks(self.files))
+        return self.stage("frameworks", frameworks.frameworks(
+            self.files, frameworks.as_manifest_facts(self._having("rules"))))
 
     @cached_property
     def arch_scores(self) -> DataFrame:
@@ -135,7 +156,7 @@ class Analysis:
 
     @cached_property
     def database_schema(self) -> DataFrame:
-        return self.stage("database_schema", schemas.database_schema(schemas.db_tables(self.files)))
+        return self.stage("database_schema", schemas.database_schema(schemas.as_tables(self._having("tables"))))
 
     @cached_property
     def contributors(self) -> DataFrame:

@@ -153,3 +153,27 @@ def test_every_repository_has_a_result(spark, make_files, make_commits, tmp_path
         assert [r[0] for r in rows_of(table, "repo_id")] == ["empty", "pruned", "usual"]
     given = Analysis(found, commits, stored(str(tmp_path / "b")), repos=spark.createDataFrame([("named",)], "repo_id string"))
     assert rows_of(given.health, "repo_id") == [("named",)]
+
+
+def test_the_analysis_reads_contents_twice(spark, tmp_path):
+    """Once for all facts of single texts, once for the Python leaf."""
+    from corpuslens.plans.analysis import Analysis, stored
+    from corpuslens.sources.corpus import COMMITS_SCHEMA, FILES_SCHEMA, write_corpus
+
+    rows = [("r", "README.md", "# x"), ("r", "a.py", "def f():\n    g()\n"), ("r", "a.js", "function f() { g() }"),
+            ("r", "package.json", '{"dependencies": {"react": "^1"}}'), ("r", "db/a.sql", "CREATE TABLE t (\n  a INT\n);")]
+    write_corpus(spark.createDataFrame(rows, FILES_SCHEMA), f"{tmp_path}/files")
+    plans = []
+
+    def stage(name, df):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(f"{tmp_path}/staged")(name, df)
+
+    whole = Analysis(spark.read.parquet(f"{tmp_path}/files"), spark.createDataFrame([], COMMITS_SCHEMA), stage)
+    tables = [whole.health, whole.summary if hasattr(whole, "summary") else whole.language_stats, whole.call_graph, whole.previews,
+              whole.modules, whole.database_schema, whole.diagrams, whole.dependency_diagram, whole.arch_evidence]
+    plans += [("result", t._jdf.queryExecution().executedPlan().toString()) for t in tables]
+    reads = [name for name, plan in plans for line in plan.split("\n") if "FileScan" in line and "content:string" in line and "/files" in line]
+    assert sorted(reads) == ["file_facts", "python_facts"]
+    assert whole.call_graph.count() == 2 and whole.database_schema.count() == 1 and whole.dependencies.count() == 1
+    assert [r["framework"] for r in whole.frameworks.collect()] == ["react"]
