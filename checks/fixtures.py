@@ -193,12 +193,22 @@ SELECT conv_id * 1000 + turn AS answer_id, concat('repo', cast(conv_id % 20 AS s
 FROM conversations WHERE role = 'assistant'
 """
 
+# Raw files: names with blanks, signs, other scripts, hidden folders and no extension; `broken` gets a byte that is no UTF-8.
+FX_PAGES = """
+SELECT concat('site', cast(page_id % 7 AS string)) AS repo_id,
+  concat(CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'a b/' WHEN 2 THEN 'x=1/50%25/' WHEN 3 THEN '.git/#1/' WHEN 4 THEN 'größe/日本/' ELSE 'n+1/c&d/' END,
+    'page ', cast(page_id AS string), CASE page_id % 3 WHEN 0 THEN '.html' WHEN 1 THEN '' ELSE '.Tar.GZ' END) AS path,
+  concat(coalesce(html, ''), CASE WHEN page_id % 5 = 0 THEN chr(13) ELSE '' END) AS content, page_id % 4 = 1 AS broken
+FROM pages
+"""
+
 FILE_CORPORA = {
     "files": FX_FILES, "manifests": FX_MANIFESTS, "code": FX_CODE, "py": FX_PY, "schema": FX_SCHEMA,
     "lang": FX_LANG, "web": FX_WEB, "orm": FX_ORM, "stack": FX_STACK,
 }
 EVERYTHING = "\nUNION ALL\n".join(f"SELECT repo_id, path, content FROM ({sql}) c_{name}" for name, sql in FILE_CORPORA.items())
 CORPORA = {
+    "pages": FX_PAGES,
     **FILE_CORPORA, "all": EVERYTHING, "commits": FX_COMMITS, "dep_rows": FX_DEP_ROWS, "questions": FX_QUESTIONS,
     "answers": FX_ANSWERS,
 }

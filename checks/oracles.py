@@ -495,6 +495,8 @@ ORACLES["expanded_scores"] = asked(
 ORACLES["relevant_files"] = asked("SELECT * FROM r4")
 ORACLES["relevant_context"] = asked(
     "SELECT q_id, repo_id, string_agg('--- ' || path || ' ---' || chr(10) || snippet, chr(10) || chr(10) ORDER BY rank) AS context FROM r4 GROUP BY q_id, repo_id")
+ORACLES["scan_tree"] = ctes(("p", duckdb_sql("pages"))) + (
+    "SELECT repo_id, path, length(content) AS chars, md5(content) AS digest FROM p")
 ORACLES["history_window"] = (
     "SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) z WHERE back <= 10")
 ORACLES["source_attribution"] = ctes(("a", duckdb_sql("answers")), fx("files"), ("f", PARTS), ("pv", dict(RETRIEVAL_CTES)["pv"])) + (

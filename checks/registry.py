@@ -20,7 +20,7 @@ from corpuslens.plans import questions, report
 from corpuslens.plans.analysis import Analysis, stored
 from corpuslens.session import staging_folder
 from corpuslens.sources import results
-from corpuslens.sources.corpus import scan_corpus, write_corpus
+from corpuslens.sources.corpus import scan_corpus, scan_tree, write_corpus, write_tree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -300,6 +300,15 @@ def _(spark, sf):
     return scan_corpus(spark, folder).select("repo_id", "path", "ext", F.md5("content").alias("digest"))
 
 
+@query("scan_tree")
+def _(spark, sf):
+    """Pages written as raw files, some with malformed UTF-8 and odd names, and scanned."""
+    folder = staging_folder(spark)
+    write_tree(corpus(spark, sf, "pages").withColumn("content", F.concat("content", F.when(
+        F.col("broken"), F.unhex(F.lit("ff"))).otherwise(F.unhex(F.lit(""))))), folder)
+    return scan_tree(spark, folder).select("repo_id", "path", F.length("content").cast("long").alias("chars"), F.md5("content").alias("digest"))
+
+
 @query("results_store")
 def _(spark, sf):
     """Write, replace the newest commits of some repositories, drop one, read everything back."""

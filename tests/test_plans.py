@@ -177,3 +177,12 @@ def test_the_analysis_reads_contents_twice(spark, tmp_path):
     assert sorted(reads) == ["file_facts", "python_facts"]
     assert whole.call_graph.count() == 2 and whole.database_schema.count() == 1 and whole.dependencies.count() == 1
     assert [r["framework"] for r in whole.frameworks.collect()] == ["react"]
+
+
+def test_a_tree_with_hidden_and_underscored_names(spark, tmp_path):
+    rows = [("r", "__init__.py", b"x"), ("r", ".env", b"A=1"), ("r", "_d/.x/a b%20.c#", "é".encode()), ("s", "e", b""), ("s", "n", None), ("s", "bad", b"a\xffb")]
+    df = spark.createDataFrame([(r, p, bytearray(c) if c is not None else None) for r, p, c in rows], "repo_id string, path string, content binary")
+    assert corpus.write_tree(df, str(tmp_path / "t")) == 6
+    (tmp_path / "t" / "beside.txt").write_text("no repository")
+    got = {(r["repo_id"], r["path"]): r["content"] for r in corpus.scan_tree(spark, str(tmp_path / "t")).collect()}
+    assert got == {("r", "__init__.py"): "x", ("r", ".env"): "A=1", ("r", "_d/.x/a b%20.c#"): "é", ("s", "e"): "", ("s", "n"): "", ("s", "bad"): "ab"}
