@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -238,11 +239,19 @@ class WordBpe:
         if len(self.known) > self.remembered or self.chars > REMEMBERED_CHARS:
             self._forget()
         known, before = self.known, len(self.known)
-        split = [t.split() if not NOT_SPACE.search(t) else [c for c in SPACE.split(t) if c] for t in batch]
-        numbers = [np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks)) for chunks in split]
+        if any(map(NOT_SPACE.search, batch)):
+            lists = pa.array([[c for c in SPACE.split(t) if c] for t in batch], pa.list_(pa.string()))
+        else:
+            lists = pc.utf8_split_whitespace(pa.array(batch, pa.string()))
+        # Python meets each distinct chunk of the batch once
+        chunks = lists.flatten().dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
         if len(known) > before:
             self._learn(list(islice(known, before, None)))
-        for at in numbers:
+        ends = lists.offsets.to_numpy()
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            at = numbers[start:end]
             yield self.chunk_ids.values[ragged(self.chunk_ids.starts[at], self.chunk_ids.lengths[at])].astype("<u4")
 
     def decode(self, ids: np.ndarray) -> str:
