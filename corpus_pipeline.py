@@ -52,7 +52,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The classifiers and the tokenizer can't be written in SQL; tests compare the stages with brute force.
+#: The classifiers and the tokenizer can't be written in SQL; tests hold each stage's operator against brute force.
 ORACLE_SQL = None
 
 
