@@ -1,8 +1,8 @@
 """WARC archives as a chunked record table.
 
 Writing: each record becomes rows (record, chunk number, bytes of the archive). A payload up to `chunk` bytes
-stands in one row; a larger one is sent in HTTP chunked coding, one chunk a row, so that no row and no buffer
-grows with the record. The rows of a task are one archive file, written by Spark's text writer, so archives can
+stands in one row; a larger one is sent in HTTP chunked coding, one chunk a row, so that no row written and no buffer
+grows with the record (the page's own row of the input is whole). The rows of a task are one archive file, written by Spark's text writer, so archives can
 lie in any store that Spark writes to. Archives are gzip files, which are read from front to back.
 
 Reading: the lines of a file are taken in order and records are followed through their headers and chunks; a
@@ -52,56 +52,59 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return rows.join(later, ["page_id", "sha"], "left").drop("sha")
 
 
-def record_lines(page_id, url: str, payload: bytes, refers_to, chunk: int) -> Iterator[str]:
-    """The archive text of one record in pieces; each piece is followed by a line feed that the writer adds."""
-    digest = base32(hashlib.sha1(payload).digest())
+def record_lines(page_id, url: str, html: str, refers_to, chunk: int) -> Iterator[str]:
+    """The archive text of one record in pieces; each piece is followed by a line feed that the writer adds.
+
+    The text is cut twice, first for its digest and sizes, then to be written; only one piece at a time is held.
+    """
+    sha, size, chunked = hashlib.sha1(), 0, 5
+    for piece in cuts(html, chunk):
+        sha.update(piece)
+        size += len(piece)
+        chunked += len(f"{len(piece):x}") + 4 + len(piece)
     name = "null" if page_id is None else page_id
     fields = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{PREFIX}{name}>",
-        f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+        f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{base32(sha.digest())}",
+        f"X-Payload-Length: {size}", "Content-Type: application/http; msgtype=response"]
     head = ["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8"]
     if refers_to is not None:
         fields += [f"WARC-Refers-To: <{PREFIX}{refers_to}>",
                    "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        body: list[bytes] = []
-    elif len(payload) <= chunk:
-        head.append(f"Content-Length: {len(payload)}")
-        body = [payload]
+        body = 0
+    elif size <= chunk:
+        head.append(f"Content-Length: {size}")
+        body = size
     else:
         head.append("Transfer-Encoding: chunked")
-        body = list(cuts(payload, chunk))
+        body = chunked
     text = END.join([*head, "", ""])
-    size = len(text)
-    if len(payload) > chunk and refers_to is None:
-        size += sum(len(f"{len(b):x}") + 4 + len(b) for b in body) + 5
-    else:
-        size += sum(map(len, body))
-    start = END.join([*fields, f"Content-Length: {size}", "", text])
-    if len(body) > 1:
-        yield start[:-1]
-        for b in body:
-            yield f"{len(b):x}\r"
-            yield b.decode("utf-8") + "\r"
-        yield "0\r"
-        yield "\r"
-    else:
+    start = END.join([*fields, f"Content-Length: {len(text) + body}", "", text])
+    if refers_to is not None or size <= chunk:
         # the record's end, CR LF CR LF, without the last line feed
-        yield start + (body[0].decode("utf-8") if body else "") + "\r\n\r"
+        yield start + ("" if refers_to is not None else html) + "\r\n\r"
         return
-    yield "\r"
-    yield "\r"
+    yield start[:-1]
+    for piece in cuts(html, chunk):
+        yield f"{len(piece):x}\r"
+        yield piece.decode("utf-8") + "\r"
+    yield from ("0\r", "\r", "\r", "\r")
 
 
-def cuts(payload: bytes, chunk: int) -> Iterator[bytes]:
-    """Pieces of at most `chunk` bytes that end between characters."""
+def cuts(text: str, chunk: int) -> Iterator[bytes]:
+    """Pieces of at most `chunk` (four or more) bytes of UTF-8 that end between characters."""
     at = 0
-    while at < len(payload):
-        end = min(at + chunk, len(payload))
-        while end < len(payload) and payload[end] & 0xC0 == 0x80:
-            end -= 1
-        yield payload[at:end]
-        at = end
+    while at < len(text):
+        piece = text[at : at + chunk].encode("utf-8")
+        if len(piece) > chunk:
+            end = chunk
+            while piece[end] & 0xC0 == 0x80:
+                end -= 1
+            piece = piece[:end]
+            at += len(piece.decode("utf-8"))
+        else:
+            at += chunk
+        yield piece
 
 
 def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
@@ -112,7 +115,7 @@ def write_archives(records: DataFrame, path: str, chunk: int = CHUNK) -> None:
             for i in range(batch.num_rows):
                 page_id, url, html, refers_to = (batch.column(c)[i].as_py() for c in range(4))
                 clean = url.replace("\r", "%0D").replace("\n", "%0A")
-                for line in record_lines(page_id, clean, html.encode("utf-8"), refers_to, chunk):
+                for line in record_lines(page_id, clean, html, refers_to, chunk):
                     lines.append(line)
                     held += len(line)
                     if held >= 16 * chunk:

@@ -96,6 +96,14 @@ def test_archives_come_back(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_cuts_end_between_characters():
+    for text in ("", "a" * 10, "aé€😀" * 50, "😀" * 9):
+        for chunk in (4, 5, 7, 64):
+            pieces = list(warc.cuts(text, chunk))
+            assert "".join(p.decode("utf-8") for p in pieces) == text and all(0 < len(p) <= chunk for p in pieces)
+            assert all(len(p) > chunk - 4 for p in pieces[:-1])
+
+
 def test_archive_files_are_warc(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a", "x" * 1000), (2, "http://b", "x" * 1000), (3, "http://c", "é\n" * 10)], "page_id bigint, url string, html string")
     warc.write_archives(warc.mark_revisits(pages).coalesce(1), str(tmp_path / "w"), chunk=300)

@@ -134,6 +134,39 @@ def test_embedding_links_equal_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_of_spread_cells_count_once(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "PART", 16)
+    rng = np.random.default_rng(5)
+    # families that the threshold cuts through, of up to 150 vectors
+    rows = [(i * 1000 + j, [float(x) for x in b + rng.normal(size=12) * 0.14], i % 2)
+            for i, b in enumerate(rng.normal(size=(8, 12))) for j in range(10 + 20 * i)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in embeddings.near_duplicates(df).collect()}
+    want = brute_links(rows)
+    assert sum(got[i][0] for i in want) >= 0.995 * sum(w[0] for w in want.values())
+    assert all(got[i][0] <= want[i][0] for i in want) and sum(got[i][0] for i in want) % 2 == 0
+
+
+def test_one_visit_finds_links_of_both_sides():
+    v = np.array([[1.0, 0.0], [0.999, 0.0447], [0.0, 1.0]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    held = {"id": np.array([10, 20, 30]), "n": np.array([1, 4, 1]), "v": v, "ask": np.array([[0], [0], [0]])}
+    asks = {"id": np.array([10]), "n": np.array([2]), "v": v[:1], "cell": np.array([5])}
+    # 20 does not visit cell 5, so the link counts for it here; with cell 0 it does
+    assert embeddings.matches(asks, held, 0.98).to_pylist() == [{"id": 10, "others": 4, "root": 10}, {"id": 20, "others": 2, "root": 10}]
+    asks["cell"] = np.array([0])
+    assert embeddings.matches(asks, held, 0.98).to_pylist() == [{"id": 10, "others": 4, "root": 10}, {"id": 20, "others": 0, "root": 10}]
+    assert embeddings.tied(5, np.array([3, 4]), np.array([4, 1])).tolist() == [0, 1, 2, 1, 1]
+
+
+def test_codebooks_grow_with_the_table():
+    sample = np.random.default_rng(6).normal(size=(3000, 16))
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    sizes = [len(embeddings.fit(sample, n, 8, 0.98, 0.995).left) for n in (100, 10**5, 10**8)]
+    assert sizes == sorted(sizes) and sizes[0] < sizes[-1]
+
+
 def test_cells_are_visited_nearest_first():
     rng = np.random.default_rng(3)
     left, right = rng.random(6), rng.random(5)
