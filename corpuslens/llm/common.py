@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local: list[str] = []
+#: In a worker process: how to forget what the operator that runs in it remembers.
+_forget: list[Callable[[], None]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,6 +44,22 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_memory(forget: Callable[[], None] | None = None) -> None:
+    """Called where a task starts: one worker process serves many operators, and only the present one's memory stays.
+
+    `forget` drops what this operator remembers from task to task; it runs when another operator's task starts here.
+    """
+    if _forget and _forget[0] is not forget:
+        _forget.pop()()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    if forget is not None:
+        _forget[:] = [forget]
+
+
 def held_out(doc_id: Column) -> Column:
     """The rows that no model may learn from: crc32 of the id's digits is a multiple of five."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import held_out, labelled_sample, logistic, slices, texts
+from corpuslens.llm.common import held_out, labelled_sample, logistic, own_memory, slices, texts
 
 PER_CLASS = 2000
 MAX_CHARS = 32_768
@@ -114,6 +114,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_column:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory()
         for batch in batches:
             for part in slices(batch):
                 s = np.array([score_text(shared.value, t) for t in texts(part.column(1))], np.float64)
@@ -132,6 +133,7 @@ def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_column:
     at = df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory()
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array([score_text(shared.value, t) >= threshold for t in texts(part.column(at))], pa.bool_()))

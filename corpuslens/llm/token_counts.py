@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import slices, texts
+from corpuslens.llm.common import own_memory, slices, texts
 
 #: Units remembered by a worker at most, beyond that it starts anew; and the longest that it remembers.
 REMEMBERED = 700_000
@@ -108,9 +108,18 @@ class PieceCounter:
 
 
 @lru_cache(maxsize=2)
+def _counter(path: str) -> PieceCounter:
+    return PieceCounter(path)
+
+
+def _forget_counters() -> None:
+    _counter.cache_clear()
+
+
 def counter(path: str) -> PieceCounter:
     """One counter a worker process."""
-    return PieceCounter(path)
+    own_memory(_forget_counters)
+    return _counter(path)
 
 
 def token_counts(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import held_out, labelled_sample, logistic, ragged, slices, texts
+from corpuslens.llm.common import held_out, labelled_sample, logistic, own_memory, ragged, slices, texts
 
 PER_CLASS = 1000
 MAX_CHARS = 32_768
@@ -259,6 +259,10 @@ def fit_rows(rows: list[tuple[int, int, str]], rounds: int = 40) -> Model:
 _remembered: list[tuple[Model, dict[str, float]]] = []
 
 
+def _forget_words() -> None:
+    _remembered.clear()
+
+
 def tag(model: Model, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all words of all texts, and the number of words of each text."""
     if not _remembered or _remembered[0][0] is not model or len(_remembered[0][1]) > REMEMBERED:
@@ -303,6 +307,7 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_column:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory(_forget_words)
         for batch in batches:
             for part in slices(batch):
                 s, spans = score_texts(shared.value, texts(part.column(1)))
@@ -323,6 +328,7 @@ def keep(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_column:
     at = df.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory(_forget_words)
         for batch in batches:
             for part in slices(batch):
                 s, _ = score_texts(shared.value, texts(part.column(at)))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from corpuslens.llm.common import ragged, slices, texts
+from corpuslens.llm.common import own_memory, ragged, slices, texts
 
 #: Chunks remembered by a worker at most; beyond that it starts anew.
 REMEMBERED = 500_000
@@ -260,9 +260,18 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
+def _codec(path: str) -> WordBpe:
+    return WordBpe(path)
+
+
+def _forget_codecs() -> None:
+    _codec.cache_clear()
+
+
 def codec(path: str) -> WordBpe:
     """One codec a worker process: its remembered chunks serve the tasks that follow."""
-    return WordBpe(path)
+    own_memory(_forget_codecs)
+    return _codec(path)
 
 
 def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -145,3 +145,13 @@ def test_two_documents_replace_the_smallest():
     # greedy: 6 + 3 leaves 1; 2 + 2 instead of 3 fill the bin
     patterns = packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)
     assert patterns[0].parts == [(6, 1), (2, 2)]
+
+
+def test_workers_remember_for_one_operator_at_a_time():
+    bpe = word_bpe.codec(WORDS)
+    assert word_bpe.codec(WORDS) is bpe
+    count = token_counts.counter(PIECES)
+    assert token_counts.counter(PIECES) is count
+    # the counter's start made the worker forget the codec, and the other way round
+    assert word_bpe.codec(WORDS) is not bpe
+    assert token_counts.counter(PIECES) is not count
