@@ -114,3 +114,16 @@ def test_facts_become_columns_without_a_row_each():
     field = schema.field("classes")
     values = [f["classes"] for f in got.select(["classes"]).to_pylist()]
     assert pyfacts._column(field.type, values).equals(pa.array(values, field.type))
+
+
+def test_files_are_dealt_evenly_over_tasks(spark, tmp_path):
+    """As many tasks as the session shuffles into, however few bytes there are."""
+    lines = [(order, 1 + n, 7 * order + n, order, float(n)) for order in range(40) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7 * o + n, f"n {n}") for o in range(40) for n in range(3)], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("code", "py", "manifests"):
+        rows = corpus(spark, str(tmp_path), name)
+        assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert rows.count() == 40 and rows.select("path").distinct().count() == 40
+    text = corpus(spark, str(tmp_path), "py").where("path = 'app/p3.py'").first()["content"]
+    assert text == "def f21(x):\n    return x\ndef f22(x):\n    if x and y:\n        g(x)\n    return x\ndef f23(x):\n" + 2 * "    if x and y:\n        g(x)\n" + "    return x\n"
