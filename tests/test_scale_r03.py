@@ -127,3 +127,11 @@ def test_files_are_dealt_evenly_over_tasks(spark, tmp_path):
         assert rows.count() == 40 and rows.select("path").distinct().count() == 40
     text = corpus(spark, str(tmp_path), "py").where("path = 'app/p3.py'").first()["content"]
     assert text == "def f21(x):\n    return x\ndef f22(x):\n    if x and y:\n        g(x)\n    return x\ndef f23(x):\n" + 2 * "    if x and y:\n        g(x)\n" + "    return x\n"
+
+
+def test_what_is_exploded_is_worked_out_once(make_files):
+    code = make_files({"a.js": "function f() {\n g()\n}", "b.ts": "", "c.js": None, "package.json": '{"dependencies": {"a": "^1", "a": "2"}}', "x/package.json": "{"})
+    functions, deps = calls.generic_functions(code), manifests.dependencies(code)
+    assert _plan(functions).count("array_sort(") == 1 and _plan(deps).count("from_json(") == 1
+    assert rows_of(functions, "path", "fn", "callees") == [("a.js", "f", ["f", "g"])]
+    assert rows_of(deps, "source_file", "seq", "name", "version") == [("package.json", 0, "a", "2")]
