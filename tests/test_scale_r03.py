@@ -93,6 +93,24 @@ def test_members_copy_no_class_for_each_salt(spark):
     assert rows_of(found.postings, "class", "kw", "c", "m") == [("a.md", "alpha", 1, 0), ("c.md", "beta", 1, 0), ("c.md", "gamma", 1, 0), ("e.py", "delta", 0, 1)]
 
 
+def test_what_is_exploded_is_worked_out_once(make_files):
+    code = make_files({"a.js": "function f() {\n g()\n}", "b.ts": "", "c.js": None, "package.json": '{"dependencies": {"a": "^1", "a": "2"}}', "x/package.json": "{"})
+    functions, deps = calls.generic_functions(code), manifests.dependencies(code)
+    assert _plan(functions).count("array_sort(") == 1 and _plan(deps).count("from_json(") == 1
+    assert rows_of(functions, "path", "fn", "callees") == [("a.js", "f", ["f", "g"])]
+    assert rows_of(deps, "source_file", "seq", "name", "version") == [("package.json", 0, "a", "2")]
+
+
+def test_a_text_is_not_searched_once_a_group(make_files):
+    found = symbols.jsts_definitions(make_files({"a.js": "\nclass A extends B {}\n\nclass C {}\nx = async (a,\n b) => 1; if (x) {}\nm(a) {", "b.js": None, "c.ts": ""}))
+    assert _plan(found).count("regexp_extract_all(text") == 2
+    assert rows_of(found, "kind", "line", "name", "bases") == [
+        ("class", 2, "A", ["B"]), ("class", 4, "C", []), ("function", 5, "x", []), ("function", 7, "m", [])]
+    java = symbols.java_definitions(make_files({"A.java": "\n\n public final class A extends B implements C, D {}\n class E {}"}))
+    # the blanks before a class belong to its match
+    assert rows_of(java, "line", "name", "bases", "interfaces") == [(3, "A", ["B"], ["C", "D"]), (3, "E", [], [])]
+
+
 def test_the_walk_asks_no_node_for_fields_without_children():
     """Fields that hold names, contexts and operators are left out by type, not looked at node by node."""
     assert not {"ctx", "op", "ops", "id", "attr"} & {f for fields in pyfacts.FIELDS.values() for f in fields}
@@ -127,11 +145,3 @@ def test_files_are_dealt_evenly_over_tasks(spark, tmp_path):
         assert rows.count() == 40 and rows.select("path").distinct().count() == 40
     text = corpus(spark, str(tmp_path), "py").where("path = 'app/p3.py'").first()["content"]
     assert text == "def f21(x):\n    return x\ndef f22(x):\n    if x and y:\n        g(x)\n    return x\ndef f23(x):\n" + 2 * "    if x and y:\n        g(x)\n" + "    return x\n"
-
-
-def test_what_is_exploded_is_worked_out_once(make_files):
-    code = make_files({"a.js": "function f() {\n g()\n}", "b.ts": "", "c.js": None, "package.json": '{"dependencies": {"a": "^1", "a": "2"}}', "x/package.json": "{"})
-    functions, deps = calls.generic_functions(code), manifests.dependencies(code)
-    assert _plan(functions).count("array_sort(") == 1 and _plan(deps).count("from_json(") == 1
-    assert rows_of(functions, "path", "fn", "callees") == [("a.js", "f", ["f", "g"])]
-    assert rows_of(deps, "source_file", "seq", "name", "version") == [("package.json", 0, "a", "2")]
