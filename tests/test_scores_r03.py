@@ -12,7 +12,7 @@ from tests.test_retrieval import brute, fixture
 
 @pytest.fixture
 def small_cells(monkeypatch):
-    for name, size in (("CELL_QUESTIONS", 4), ("CELL_FILES", 16), ("COUNTED", 3)):
+    for name, size in (("CELL_QUESTIONS", 4), ("CELL_FILES", 16), ("COUNTED", 3), ("CELL_RUNS", 5), ("CELL_KEYWORDS", 4)):
         monkeypatch.setattr(retrieval, name, size)
 
 
